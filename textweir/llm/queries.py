@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op3_url_filters": "url_filters",
     "op5_best_fit_packing": "packing",
+    "op8_chat_formatting": "chat_format",
     "op9_token_binary_output": "token_output",
 }
 
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: module.ORACLE_SQL for name, module in ((n, importlib.import_module(f"{__package__}.{m}")) for n, m in _MODULES.items()) if getattr(module, "ORACLE_SQL", None)}
