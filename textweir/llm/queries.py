@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_language_id": "language_id",
     "op3_url_filters": "url_filters",
     "op5_best_fit_packing": "packing",
     "op8_chat_formatting": "chat_format",
