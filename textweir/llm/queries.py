@@ -8,6 +8,7 @@ _MODULES = {
     "op1_language_id": "language_id",
     "op3_url_filters": "url_filters",
     "op5_best_fit_packing": "packing",
+    "op6_benchmark_decontamination": "decontamination",
     "op8_chat_formatting": "chat_format",
     "op9_token_binary_output": "token_output",
 }
