@@ -9,6 +9,7 @@ _MODULES = {
     "op3_url_filters": "url_filters",
     "op5_best_fit_packing": "packing",
     "op6_benchmark_decontamination": "decontamination",
+    "op7_quality_classifier": "quality",
     "op8_chat_formatting": "chat_format",
     "op9_token_binary_output": "token_output",
 }
