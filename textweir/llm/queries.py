@@ -13,6 +13,7 @@ _MODULES = {
     "op7_quality_classifier": "quality",
     "op8_chat_formatting": "chat_format",
     "op9_token_binary_output": "token_output",
+    "op10_lm_scoring": "lm_scoring",
 }
 
 
