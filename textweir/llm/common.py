@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the reread table, so lost executors recompute nothing above it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textweir/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +41,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def masked(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """All columns under names that nothing clashes with, beside the ``needed`` ones; those names; and the way back."""
+    names = [f"_keep{i}" for i in range(len(docs.columns))]
+    apart = docs.toDF(*names)
+    own = dict(zip(docs.columns, names))
+    return apart.select(*names, *[F.col(own[n]).alias(n) for n in needed]), names, lambda df: df.select(*[F.col(k).alias(n) for n, k in own.items()])
+
+
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions of the session, so a plan follows the cluster's own setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

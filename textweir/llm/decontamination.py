@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gather, segments, table, text_batches
+from .common import gather, masked, segments, table, text_batches
 
 WINDOW = 10
 #: Words of the benchmark that are broadcast at once: about 8 bytes each.
@@ -197,9 +197,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], window:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without an occurrence of any window, with their own columns."""
-    names = docs.columns
-    kept = find_matches(docs.select(*names), benchmark, names, window).where(F.size("_items") == 0)
-    return kept.select(*names)
+    apart, names, back = masked(docs, "text")
+    return back(find_matches(apart, benchmark, names, window).where(F.size("_items") == 0))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

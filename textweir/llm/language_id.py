@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, fold, segment_sum, segments, table, text_batches
+from .common import code_points, fold, masked, segment_sum, segments, table, text_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -139,5 +139,12 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
+def filter_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose language is identified with a score of ``least`` or more, with their own columns."""
+    apart, names, back = masked(docs, "doc_id", "text", "lang")
+    model = learn(apart.where(fold(F.col("doc_id"), 3) != 1))
+    return back(predict(apart, model, names).where((F.col("lang_pred") != UND) & (F.col("score") >= least)))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_language_id": "language_id",
+    "op2_nearest_neighbours": "ann",
     "op3_url_filters": "url_filters",
     "op4_simhash_near_dedup": "simhash",
     "op5_best_fit_packing": "packing",

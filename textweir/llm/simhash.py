@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import segments, stage, table, text_batches
+from .common import masked, segments, stage, table, text_batches
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -210,12 +210,17 @@ def group(docs: DataFrame, keep: list[str], radius: int = RADIUS, k: int = SHING
     return prints.join(shared, "_fp", "left").select(*keep, "_fp", F.coalesce("_c", "doc_id").alias("_component"))
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that with the least id, with its own columns; rows repeated whole stay once."""
-    names = docs.columns
-    grouped = group(docs.withColumn("_place", F.monotonically_increasing_id()), ["doc_id", "_place"], radius)
+def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+    """One document of each component stays, that with the least id, with its own columns; of its repeated rows the first.
+
+    ``docs`` is read twice and rows are told apart by their place, so it has to
+    be a stored table or another plan that gives its rows again in place.
+    """
+    apart, names, back = masked(docs, "doc_id", "text")
+    placed = apart.withColumn("_place", F.monotonically_increasing_id())
+    grouped = group(placed, ["doc_id", "_place"], radius, k)
     kept = grouped.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_place")).alias("first")).select(F.col("first._place").alias("_place"))
-    return docs.withColumn("_place", F.monotonically_increasing_id()).join(kept, "_place", "left_semi").select(*names)
+    return back(placed.join(kept, "_place", "left_semi"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
