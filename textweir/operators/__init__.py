@@ -1 +1 @@
-
+"""DataFrame -> DataFrame operators; none collects rows."""

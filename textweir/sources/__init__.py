@@ -1 +1 @@
-
+"""Where rows come from: tables, derived views and file scans."""
