@@ -199,9 +199,9 @@ def read_terms(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "csv":
         return import_defaults(spark.read.option("header", True).csv(path).transform(_typed))
     raw = spark.read.text(path, wholetext=True)
-    item = f"struct<{TERM_SCHEMA.replace(' ', ':')}>".replace(",:", ",")
-    listed = F.coalesce(F.from_json("value", f"array<{item}>"), F.from_json(F.get_json_object("value", "$.terms"), f"array<{item}>"))
-    return import_defaults(raw.select(F.explode(listed).alias("t")).where("t is not null").select("t.*"))
+    items = F.coalesce(F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.terms"), "array<string>"))
+    entry = raw.select(F.explode(items).alias("t")).where(F.col("t").rlike(r"^\s*\{"))
+    return import_defaults(entry.select(F.from_json("t", TERM_SCHEMA).alias("t")).select("t.*"))
 
 
 def _typed(df: DataFrame) -> DataFrame:
