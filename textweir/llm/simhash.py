@@ -158,6 +158,10 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _probe(part: int, base):
+    return lambda x: F.struct(F.lit(part).alias("part"), base.bitwiseXOR(x).alias("key"))
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: links whose components are those of all pairs of fingerprints (_fp) within ``radius`` (2 at most) bits."""
     if not 0 <= radius <= 2:
@@ -170,7 +174,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         flips = [_signed(sum(1 << b for b in c)) for d in range(t + 1) for c in combinations(bits, d)]
         keys.append(F.struct(F.lit(i).alias("part"), F.col("_fp").bitwiseAND(mask).alias("key")))
         base = F.col("_fp").bitwiseAND(mask)
-        probes.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, i=i, base=base: F.struct(F.lit(i).alias("part"), base.bitwiseXOR(x).alias("key"))))
+        probes.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _probe(i, base)))
     index = distinct.select("_fp", F.explode(F.array(*keys)).alias("k")).select("_fp", "k.part", "k.key")
     probing = distinct.select("_fp", F.explode(F.concat(*probes)).alias("k")).select(F.col("_fp").alias("other"), "k.part", "k.key") if any(t for _, t in chosen) else index.withColumnRenamed("_fp", "other")
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))

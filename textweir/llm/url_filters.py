@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, table
 
-END, LAST = "\u0001", "\U0010ffff"
+#: Ends a label; the next character ends the interval of all keys that go on from there.
+END, PAST = "\u0001", "\u0002"
 #: Url keys looked at to cut the ranges, for each range; this only balances tasks.
 SPLIT_SAMPLE = 50
 #: Ranges at most: a url finds its range by binary search in the list of cuts.
@@ -59,8 +60,9 @@ def _boundaries(rules: DataFrame) -> DataFrame:
     above = frames.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("up"))
     stacks = above.join(frames.select(F.col("host").alias("up"), "frame"), "up").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("frame"))).alias("stack"))
     key = host_key(F.col("host"))
-    starts = stacks.select(key.alias("key"), "stack")
-    ends = stacks.select(F.concat(key, F.lit(LAST)).alias("key"), F.filter("stack", lambda r: r["host"] != F.col("host")).alias("stack"))
+    stacks = stacks.withColumn("key", key)
+    starts = stacks.select("key", "stack")
+    ends = stacks.select(F.concat(F.expr("left(key, length(key) - 1)"), F.lit(PAST)).alias("key"), F.filter("stack", lambda r: r["host"] != F.col("host")).alias("stack"))
     return starts.unionByName(ends)
 
 
