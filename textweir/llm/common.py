@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,17 +126,22 @@ def text_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]
 class CachedTokenizer:
     """Ids of whole texts by the tokenizers library, through a cache of the pieces between spaces and line ends.
 
-    Both vocabularies split text before any merge, and no pre-token runs from a
-    non-space into a space or line end; so a text cut before these has the ids
-    of its pieces, one after another. A text where white space precedes one of
-    them, or with U+001C to U+001F, is encoded whole: there the cut is not proven.
+    Both vocabularies split text before any merge. No pre-token runs from a
+    non-space into a space or line end, nor from a letter or digit into a full
+    stop or comma; so a text cut before these has the ids of its pieces, one
+    after another. A text where white space is anything but single spaces and
+    line ends, where a cut full stop or comma doesn't follow a letter or digit,
+    or that holds a mark of ours, is encoded whole: there the cut is not proven.
     """
 
-    #: Mark a text's first piece, and one after a line end; the others stand for the piece with its space before it.
+    #: Begin a text's first piece, and one after a line end; the others stand for the piece with its space before it.
     FIRST, LINE = "\x1e", "\x1f"
+    #: Pieces on their own for a full stop and a comma before a space.
+    STOP, COMMA = "\x1d", "\x1c"
     #: Pieces kept at most; the cache starts anew beyond it, which changes no id.
     LIMIT = 500_000
-    _odd = re.compile(r"\s[ \n]|[\x1c-\x1f]")
+    _odd = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    _odd_wide = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -151,17 +156,21 @@ class CachedTokenizer:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.plain_end = np.zeros(0, bool)
+        self._learn([self.STOP, self.COMMA])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        ids = self._encode([p[1:] if p[:1] == self.FIRST else "\n" + p[1:] if p[:1] == self.LINE else " " + p for p in pieces])
+        marks = {self.FIRST: "", self.LINE: "\n", self.STOP: ".", self.COMMA: ","}
+        ids = self._encode([marks[p[0]] + p[1:] if p[:1] in marks else " " + p for p in pieces])
         n, lengths = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
         self.index.update(zip(pieces, range(n, n + len(pieces))))
         self.start = np.concatenate([self.start, len(self.flat) + segments(lengths)[:-1]])
         self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        self.plain_end = np.concatenate([self.plain_end, np.fromiter((p[-1:].isalnum() for p in pieces), bool, len(pieces))])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
@@ -170,27 +179,37 @@ class CachedTokenizer:
             out += self._batch(part)
         return out
 
+    def _is_odd(self, t: str) -> bool:
+        return any(x in t for x in self._odd) or not t.isascii() and any(x in t for x in self._odd_wide)
+
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.LIMIT:
             self._clear()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
-        whole = [k for k, t in enumerate(texts) if self._odd.search(t)]
-        odd = set(whole)
+        whole = {k for k, t in enumerate(texts) if self._is_odd(t)}
+        line, stop, comma = " " + self.LINE, f" {self.STOP} ", f" {self.COMMA} "
         for k, t in enumerate(texts):
-            if t and k not in odd:
-                first, *rest = t.replace("\n", " " + self.LINE).split(" ")
-                if first:
-                    pieces.append(self.FIRST + first)
-                pieces += rest
-                counts[k] = len(rest) + bool(first)
+            if t and k not in whole:
+                cut = t.replace("\n", line).replace(". ", stop).replace(", ", comma).split(" ")
+                if cut[0]:
+                    cut[0] = self.FIRST + cut[0]
+                else:
+                    del cut[0]
+                pieces += cut
+                counts[k] = len(cut)
         if new := list(set(pieces).difference(self.index)):
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        bounds = segments(counts)
+        marks = np.flatnonzero(at < 2)
+        first = np.searchsorted(bounds, marks, "right") - 1
+        whole.update(first[(bounds[first] == marks) | ~self.plain_end[at[marks - 1]]].tolist())
         lengths = self.length[at]
         flat = self.flat[gather(self.start[at], lengths)]
-        ends = segments(lengths)[segments(counts)]
+        ends = segments(lengths)[bounds]
         out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+        rest = sorted(whole)
+        for k, ids in zip(rest, self._encode([texts[k] for k in rest])):
             out[k] = np.array(ids, np.uint32)
         return out
