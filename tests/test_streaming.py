@@ -24,12 +24,12 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_progress_fold(spark, tmp_path):
-    lines = [(1, 0, "[FILE] a"), (1, 1, "2/5"), (1, 2, "5/5"), (1, 3, "[FILE] b"), (1, 4, "1/4"), (2, 0, "[FILE] c"), (2, 1, "noise")]
+    lines = [(1, 0, "Processing: a (1/2)"), (1, 1, "[TR] 2/5 x"), (1, 2, "Done: a -> b"), (1, 3, "Processing: b (2/2)"), (1, 4, "[TR] 1/4 y"), (2, 0, "Processing: c (1/1)"), (2, 1, "noise")]
     df = spark.createDataFrame(lines, "job_id long, seq long, message string")
     df.coalesce(1).write.parquet(f"{tmp_path}/l")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/l")
     got = {r.job_id: (r.files, r.segments_done, r.segments_total) for r in run(spark, P.progress(stream), "folded", "update").collect()}
-    assert got == {1: (2, 6, 9), 2: (1, 0, 0)}
+    assert got == {1: (1, 6, 9), 2: (0, 0, 0)}
 
 
 def test_cache_flush_is_idempotent(spark, tmp_path):

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the session's folder; one of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textweir-"))
+    return df.checkpoint()
 
 
 def session(app: str = "textweir", **conf: str) -> SparkSession:

@@ -13,8 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.cache import first_write_wins
 
-#: Counters of a progress line: segments done of total in a file; a file that begins.
-SEGMENT, FILE = re.compile(r"(\d+)\s*/\s*(\d+)"), re.compile(r"^\[FILE\]")
+#: A file begins, segments are done, a file is done.
+BEGINS = re.compile(r"^Processing:\s+(.+?)\s+\((\d+)/(\d+)\)$")
+SEGMENT = re.compile(r"^\[TR\]\s+(\d+)/(\d+)\s+")
+DONE = re.compile(r"^Done:\s+(.+?)\s+->")
 OUT = "job_id long, files long, segments_done long, segments_total long"
 
 
@@ -39,13 +41,15 @@ def warnings_once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "message"])
 
 
-def fold_progress(state: tuple[int, int, int, int], message: str) -> tuple[int, int, int, int]:
-    """(files, base, done, total) after a line; counts of finished files are carried into the base."""
-    files, base, done, total = state
-    if FILE.search(message):
-        return files + 1, base + done, 0, total
-    if m := SEGMENT.search(message):
-        return files, base, int(m[1]), base + int(m[2])
+def fold_progress(state: tuple[int, int, int, int, int], message: str) -> tuple[int, int, int, int, int]:
+    """(files done, base, segments done, segments total, in this file) after a line; segments of earlier files are the base."""
+    files, base, done, total, own = state
+    if m := BEGINS.match(message):
+        return int(m[2]) - 1, done, done, total, 0
+    if m := SEGMENT.match(message):
+        return files, base, base + int(m[1]), base + int(m[2]), int(m[2])
+    if DONE.match(message):
+        return files + 1, base, base + own if own else done, total, own
     return state
 
 
@@ -56,15 +60,15 @@ def progress(lines: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.get if state.exists else (0, 0, 0, 0)
+        now = state.get if state.exists else (0, 0, 0, 0, 0)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         for m in rows["message"]:
             now = fold_progress(now, m or "")
         state.update(tuple(int(x) for x in now))
         state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(key[0], now[0], now[1] + now[2], now[3])], columns=[c.split()[0] for c in OUT.split(", ")])
+        yield pd.DataFrame([(key[0], now[0], now[2], now[3])], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return lines.groupBy("job_id").applyInPandasWithState(run, OUT, "files long, base long, done long, total long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("job_id").applyInPandasWithState(run, OUT, "files long, base long, done long, total long, own long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def flush_to_cache(path: str, *order: str):
