@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CachedTokenizer, stage, table
+from .common import CachedTokenizer, stage, table, unstage
 
 #: Documents that the dictionary is trained on at most. It shapes compression alone, never results.
 DICT_DOCS = 2_000
@@ -55,7 +55,11 @@ def tokenizer(path: str) -> CachedTokenizer:
 
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     """A dictionary from at most ``DICT_DOCS`` documents, taken by the hash of their ids; empty where there are too few."""
-    rows = docs.where(F.length("text") > 0).select("text", F.xxhash64("doc_id").alias("_h")).orderBy("_h").limit(DICT_DOCS).select(F.substring("text", 1, DICT_CHARS).alias("text")).collect()
+    # Narrow rows by hash first: each task then sends the driver a few short texts, however many tasks there are.
+    share = min(1.0, 4 * DICT_DOCS / max(1, docs.count()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    picked = docs.select(h.alias("_h"), F.substring("text", 1, DICT_CHARS).alias("text")).where((F.col("_h") <= int(share * (1 << 30))) & (F.length("text") > 0))
+    rows = picked.orderBy("_h").limit(DICT_DOCS).collect()
     samples = [ids.astype("<u4").tobytes() for ids in tokenizer(vocabulary)([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=3).as_bytes() if len(samples) >= 8 else b""
@@ -119,7 +123,9 @@ def write_tokens(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, bytes]:
     dict_sha = hashlib.sha256(dictionary).hexdigest()
     frames = stage(encode(docs, vocabulary, dictionary), "frames")  # sorting samples its input first: it must not tokenise twice
     ordered = frames.repartitionByRange("doc_id", F.xxhash64("frame")).sortWithinPartitions("doc_id")
-    return stage(ordered.mapInPandas(_to_blocks(dict_sha), BLOCK_SCHEMA), "blocks"), dictionary
+    blocks = stage(ordered.mapInPandas(_to_blocks(dict_sha), BLOCK_SCHEMA), "blocks")
+    unstage(frames)
+    return blocks, dictionary
 
 
 def _array(raw: bytes, kind: str = "<i8") -> np.ndarray:
@@ -161,11 +167,11 @@ def read_tokens(blocks: DataFrame, dictionary: bytes) -> DataFrame:
                 raw = [unpack.decompress(bytes(frames[x:y])) for x, y in zip(bounds[:-1], bounds[1:])]
                 ids = pd.array(_array(b["doc_ids"]), dtype="Int64")
                 ids[_array(b["null_ids"], "u1").astype(bool)] = pd.NA
-                yield pd.DataFrame({"doc_id": ids, "start": b["base"] + np.cumsum(counts) - counts, "n_tokens": [len(r) // 4 for r in raw], "ids_crc32": [zlib.crc32(r) for r in raw], "block": b["block"]})
-
-    return blocks.join(base, "block").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, block long")
-
+                yield pd.DataFrame({"doc_id": ids, "in_block": np.cumsum(counts) - counts, "n_tokens": [len(r) // 4 for r in raw], "ids_crc32": [zlib.crc32(r) for r in raw], "block": b["block"]})
 
+    # Only what was read meets the starts, not the frames.
+    found = blocks.mapInPandas(run, "doc_id long, in_block long, n_tokens long, ids_crc32 long, block long")
+    return found.join(base, "block").select("doc_id", (F.col("base") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32", "block")
 
 
 def _running(sums: DataFrame) -> DataFrame:
