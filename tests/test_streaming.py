@@ -4,9 +4,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def run(spark, stream, name, mode):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     return spark.table(name)
 
 

@@ -53,8 +53,12 @@ def fold_progress(state: tuple[int, int, int, int, int], message: str) -> tuple[
     return state
 
 
-def progress(lines: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """job_id with its counters from log lines (job_id, seq, message), state dropped after a day without lines; update mode."""
+def progress(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """job_id with its counters from log lines (job_id, seq, message); update mode.
+
+    With ``ttl_ms`` a job's state is dropped after so long without lines. Spark
+    then runs batches even when idle, so such a query ends by ``stop()`` alone.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,10 +69,11 @@ def progress(lines: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
         for m in rows["message"]:
             now = fold_progress(now, m or "")
         state.update(tuple(int(x) for x in now))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(key[0], now[0], now[2], now[3])], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return lines.groupBy("job_id").applyInPandasWithState(run, OUT, "files long, base long, done long, total long, own long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("job_id").applyInPandasWithState(run, OUT, "files long, base long, done long, total long, own long", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def flush_to_cache(path: str, *order: str):
