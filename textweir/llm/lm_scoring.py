@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashLookup, fold, segment_sum, segments, stage, table
+from .common import HashLookup, fold, segment_sum, segments, stage, table, unstage
 
 DEPTH = 5
 #: Bytes of text in a block, and n-grams that are broadcast at most (12 bytes each).
 BLOCK_BYTES, MAX_BROADCAST = 32_000_000, 4_000_000
 #: Bytes of text scored at once.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 #: The end of a text, as byte and as token: no word holds it.
 END = b"\n"
 TOKEN, GRAM, DOC = 0, 1, 2
@@ -71,62 +72,70 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 STAGED = "kind int, block long, doc_id long, held_out boolean, code long, n long, data binary"
+#: Rows in a batch that a task hands over.
+OUT_ROWS = 65_536
 
 
-def _frame(kind: int, block: int, size: int, **cols) -> pd.DataFrame:
-    base = {"kind": np.full(size, kind, np.int32), "block": np.full(size, block, np.int64), "doc_id": None, "held_out": None, "code": None, "n": None, "data": None}
-    return pd.DataFrame(base | cols, index=range(size))
+def _batch(kind: int, block: int, size: int, **cols):
+    """A record batch of ``STAGED`` in which what isn't given is null."""
+    import pyarrow as pa
 
+    kinds = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "code": pa.int64(), "n": pa.int64(), "data": pa.binary()}
+    fixed = {"kind": np.full(size, kind, np.int32), "block": np.full(size, block, np.int64)}
+    have = {n: c if isinstance(c, pa.Array) else pa.array(c, type=kinds[n]) for n, c in (fixed | cols).items()}
+    return pa.RecordBatch.from_arrays([have[n] if n in have else pa.nulls(size, t) for n, t in kinds.items()], names=list(kinds))
 
-def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _gather(batches: Iterator) -> Iterator:
+    """Documents (doc_id, held_out, text) to blocks of ``STAGED`` rows. A block's memory is that of its distinct words and n-grams."""
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     part, made, size = TaskContext.get().partitionId(), 0, 0
     packer = zstandard.ZstdCompressor(level=1)
     words: Counter = Counter()
-    known: set[bytes] = set()
+    held_words: set[bytes] = set()
     codes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
 
-    def close() -> Iterator[pd.DataFrame]:
-        block = (part << 32) + made
-        known.update(words)
-        if known:
-            names = list(known)
-            yield _frame(TOKEN, block, len(names), data=names, n=[words[w] for w in names])
+    def close(block: int) -> Iterator:
+        rest = iter([*words, *(w for w in held_words if w not in words)])
+        while names := list(islice(rest, OUT_ROWS)):
+            yield _batch(TOKEN, block, len(names), data=names, n=[words.get(w, 0) for w in names])
         if codes:
             k, n = _merge(codes, counts)
-            yield _frame(GRAM, block, len(k), code=k.astype(np.int64), n=n)
-
-    for pdf in batches:
-        block_ids, run, own, docs = [], 0, [[], []], []
-        for doc, held, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"]):
-            ws = tokens(text)
-            flat = b" ".join(ws) + END
-            docs.append((doc, held, flat))
-            own[bool(held)].append(flat)
-            (known.update if held else words.update)(ws)
-            run += len(flat)
-            size += len(flat)
-            if run >= RUN_BYTES or size >= BLOCK_BYTES:
-                _count(own, codes, counts)
-                run, own = 0, [[], []]
+            for a in range(0, len(k), OUT_ROWS):
+                yield _batch(GRAM, block, len(k[a : a + OUT_ROWS]), code=k[a : a + OUT_ROWS].astype(np.int64), n=n[a : a + OUT_ROWS])
+        words.clear(), held_words.clear(), codes.clear(), counts.clear()
+
+    for batch in batches:
+        ids, held, text = (batch.column(k) for k in range(3))
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // RUN_BYTES)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b == a:
+                continue
+            own, flat = ([], []), []
+            for h, t in zip(held.slice(a, b - a).to_pylist(), text.slice(a, b - a).to_pylist()):
+                ws = tokens(t)
+                flat.append(b" ".join(ws) + END)
+                own[bool(h)].append(flat[-1])
+                (held_words if h else words).update(ws)
+            _count(own, codes, counts)
+            if len(codes) > 8:
+                k, n = _merge(codes, counts)
+                codes[:], counts[:] = [k], [n]
+            block = (part << 32) + made
+            yield _batch(DOC, block, b - a, doc_id=ids.slice(a, b - a), held_out=held.slice(a, b - a), data=[packer.compress(t) for t in flat])
+            size += sum(map(len, flat))
             if size >= BLOCK_BYTES:
-                yield _docs(docs, (part << 32) + made, packer)
-                yield from close()
-                made, size, docs = made + 1, 0, []
-                words.clear(), known.clear(), codes.clear(), counts.clear()
-        _count(own, codes, counts)
-        if len(codes) > 8:
-            k, n = _merge(codes, counts)
-            codes[:], counts[:] = [k], [n]
-        if docs:
-            yield _docs(docs, (part << 32) + made, packer)
+                yield from close(block)
+                made, size = made + 1, 0
     if size:
-        yield from close()
+        yield from close((part << 32) + made)
 
 
-def _count(own: list[list[bytes]], codes: list, counts: list) -> None:
+def _count(own: tuple[list[bytes], list[bytes]], codes: list, counts: list) -> None:
     """Distinct n-grams of the texts trained on, counted, and of those held out, with count 0."""
     for held, texts in enumerate(own):
         if texts:
@@ -135,11 +144,6 @@ def _count(own: list[list[bytes]], codes: list, counts: list) -> None:
             counts.append(n * (0 if held else 1))
 
 
-def _docs(docs: list[tuple], block: int, packer) -> pd.DataFrame:
-    ids, held, flat = zip(*docs)
-    return _frame(DOC, block, len(docs), doc_id=pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"), held_out=list(held), data=[packer.compress(t) for t in flat])
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
     y = x + 8
@@ -232,41 +236,52 @@ def gram_table(counts: DataFrame) -> DataFrame:
             lp = log10_bytes(pdf["code"].to_numpy().astype(np.uint64), pdf[names].to_numpy(), kt, weight)
             yield pd.DataFrame({"code": pdf["code"], "lp": lp.astype(np.float32)})
 
-    return inner.where("not is_root").select("code", *names).mapInPandas(finish, "code long, lp float")
+    done = stage(inner.where("not is_root").select("code", *names).mapInPandas(finish, "code long, lp float"), "grams")
+    unstage(inner)
+    return done
 
 
 def _score(n_train: int, n_vocab: int, n_ends: int, sent):
     unit = float(n_train + n_vocab + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        """Rows by block and kind: a block's tokens, its n-grams if they aren't broadcast, then its documents, a few at a time."""
         unpack = zstandard.ZstdDecompressor()
         shared = (HashLookup(sent.value[0]), sent.value[1]) if sent else None
-        block, c, held_codes, held_lp, look = None, {}, [], [], shared
+        block, c, held, look = None, {}, [], shared
         end = (np.log10((n_ends + 1) / unit), n_ends > 0)
-        for pdf in batches:
-            # A batch may hold the end of one block and the start of the next.
-            for at, mine in pdf.groupby("block", sort=True):
+        for batch in batches:
+            keys = batch.column("block").to_numpy() * 4 + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                at, kind = int(keys[a]) // 4, int(keys[a]) % 4
                 if at != block:
-                    block, c, held_codes, held_lp, look = at, {}, [], [], shared
-                for kind, rows in mine.groupby("kind", sort=True):
-                    if kind == TOKEN:
-                        c.update(zip(rows["data"].map(bytes), rows["n"].astype(np.int64)))
-                    elif kind == GRAM:
-                        held_codes.append(rows["code"].to_numpy().astype(np.uint64))
-                        held_lp.append(rows["lp"].to_numpy())
-                    else:
-                        if look is None:
-                            codes = np.concatenate(held_codes)
-                            order = np.argsort(codes)
-                            look = (HashLookup(codes[order]), np.concatenate(held_lp)[order])
-                            held_codes, held_lp = [], []
-                        yield _score_docs(rows, c, look, unit, end, unpack, n_train)
+                    block, c, held, look = at, {}, [], shared
+                if kind == TOKEN:
+                    c.update(zip(rows.column("data").to_pylist(), rows.column("n").to_pylist()))
+                elif kind == GRAM:
+                    held.append((rows.column("code").to_numpy().astype(np.uint64), rows.column("lp").to_numpy()))
+                else:
+                    if look is None:
+                        codes = np.concatenate([k for k, _ in held])
+                        order = np.argsort(codes)
+                        look, held = (HashLookup(codes[order]), np.concatenate([v for _, v in held])[order]), []
+                    for k in range(0, b - a, 256):
+                        yield _score_docs(rows.slice(k, 256), c, look, unit, end, unpack, n_train)
 
     return run
 
 
-def _score_docs(rows: pd.DataFrame, c: dict, look: tuple, unit: float, end: tuple, unpack, n_train: int) -> pd.DataFrame:
-    flat = [unpack.decompress(bytes(d)) for d in rows["data"]]
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def _score_docs(rows, c: dict, look: tuple, unit: float, end: tuple, unpack, n_train: int):
+    import pyarrow as pa
+
+    flat = [unpack.decompress(d) for d in rows.column("data").to_pylist()]
     score, size, k = [], 0, 0
     for i, t in enumerate(flat):
         size += len(t)
@@ -280,34 +295,37 @@ def _score_docs(rows: pd.DataFrame, c: dict, look: tuple, unit: float, end: tupl
     count = np.fromiter((n for ws in per for n in map(c.__getitem__, ws)), np.float64, int(bounds[-1]))
     base = segment_sum(np.log10((count + 1) / unit), bounds) + end[0]
     known = segment_sum(count > 0, bounds).astype(np.int64) + int(end[1])
-    score = np.concatenate(score) if score else np.zeros(0)
+    score = np.concatenate(score)
     size = np.fromiter(map(len, flat), np.int64, len(flat))
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_tokens": sizes + 1, "n_known": known, "train_tokens": n_train, "base_score": base, "score": score, "bits_per_byte": -score * np.log2(10) / size})
+    columns = [rows.column("doc_id"), rows.column("held_out"), sizes + 1, known, np.full(len(flat), n_train, np.int64), base, score, -score * np.log2(10) / size]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
 def score(docs: DataFrame, broadcast_limit: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    staged = stage(source.mapInPandas(_gather, STAGED), "blocks", "kind")
+    staged = stage(source.mapInArrow(_gather, STAGED), "blocks", "kind")
     token, gram, doc = (staged.where(F.col("kind") == k) for k in (TOKEN, GRAM, DOC))
     counts = stage(token.groupBy("data").agg(F.sum("n").alias("c")), "vocabulary")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = doc.where("not held_out").count()
     n_train, n_vocab = total.n + ends, total.v + (ends > 0)
-    lp = stage(gram_table(gram.groupBy("code").agg(F.sum("n").alias("n"))), "grams")
+    lp = gram_table(gram.groupBy("code").agg(F.sum("n").alias("n")))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("code", "long"), ("lp", "float"))]
     dealt = doc.select("block", "kind", "doc_id", "held_out", F.lit(None).cast("long").alias("n"), "data", *none)
     empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")]
     dealt = dealt.unionByName(token.select("block", "kind", "data").join(counts, "data").select("block", "kind", *empty, F.col("c").alias("n"), "data", *none))
     sent = None
     if lp.count() <= broadcast_limit:  # checked: at most 12 bytes * MAX_BROADCAST
-        got = lp.toPandas().sort_values("code")
-        sent = spark.sparkContext.broadcast((got["code"].to_numpy().astype(np.uint64), got["lp"].to_numpy()))
+        got = lp.toArrow()
+        codes, values = got["code"].to_numpy().astype(np.uint64), got["lp"].to_numpy()
+        order = np.argsort(codes)
+        sent = spark.sparkContext.broadcast((codes[order], values[order]))
     else:
         dealt = dealt.unionByName(gram.select("block", "kind", "code").join(lp, "code").select("block", "kind", *empty, F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"), "code", "lp"))
     ordered = dealt.repartition("block").sortWithinPartitions("block", "kind")
-    return ordered.mapInPandas(_score(n_train, n_vocab, ends, sent), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return ordered.mapInArrow(_score(n_train, n_vocab, ends, sent), SCORES)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
