@@ -131,6 +131,38 @@ def text_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]
         yield run
 
 
+def map_text(docs: DataFrame, keep: list[str], added: str, compute: Callable[[list[str]], list], chars: int = 1_000_000) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those ``added`` (a schema), which ``compute`` gives for runs of whole texts, null as empty.
+
+    Batches stay in Arrow: kept columns pass through untouched, and only a run of
+    about ``chars`` bytes of text is ever Python objects.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    new = StructType.fromDDL(added)
+    schema = StructType([*picked.schema.fields[:-1], *new.fields])
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            text, kept = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            run_of = np.cumsum(sizes) // chars
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    made = compute([t or "" for t in text.slice(a, b - a).to_pylist()])
+                    columns = [c.slice(a, b - a) for c in kept] + [pa.array(x, type=t) for x, (_, t) in zip(made, kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(n for n, _ in kinds)])
+
+    return picked.mapInArrow(run, schema)
+
+
 class CachedTokenizer:
     """Ids of whole texts by the tokenizers library, through a cache of the pieces between spaces and line ends.
 

@@ -23,21 +23,19 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gather, masked, segments, table, text_batches
+from .common import gather, map_text, masked, segments, table
 
 WINDOW = 10
 #: Words of the benchmark that are broadcast at once: about 8 bytes each.
 BLOCK_WORDS = 4_000_000
-#: Characters of documents in a shard.
-SHARD_CHARS = 4_000_000
+#: Bytes of documents in a shard.
+SHARD_CHARS = 2_000_000
 #: A word is a run of anything but U+0000 to U+007F other than letters and digits; A-Z count as a-z.
 _split = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -157,19 +155,11 @@ def blocks_of(benchmark: DataFrame, window: int) -> list:
 
 
 def _scan(docs: DataFrame, sent, keep: list[str]) -> DataFrame:
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in picked.drop("_text").dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes, hits = [], []
-            for texts in text_batches(pdf["_text"].fillna("").tolist(), SHARD_CHARS):
-                n, found = shard_hits(texts, sent.value)
-                sizes += n.tolist()
-                hits += found
-            yield pdf.drop(columns="_text").assign(_n_words=sizes, _spans=[h[0] for h in hits], _items=[h[1] for h in hits])
-
-    return picked.mapInPandas(run, f"{kinds}, _n_words long, _spans array<array<long>>, _items array<long>")
+    def compute(texts: list[str]) -> list:
+        sizes, hits = shard_hits(texts, sent.value)
+        return [sizes, [h[0] for h in hits], [h[1] for h in hits]]
+
+    return map_text(docs, keep, "_n_words long, _spans array<array<bigint>>, _items array<bigint>", compute, SHARD_CHARS)
 
 
 def _union(spans):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, fold, masked, segment_sum, segments, table, text_batches
+from .common import code_points, fold, map_text, masked, segment_sum, segments, table, text_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -109,27 +109,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     langs, matrix = model
     sent = docs.sparkSession.sparkContext.broadcast(matrix)  # MAX_LANGS * BUCKETS numbers at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[str]) -> list:
         logp = sent.value
-        for pdf in batches:
-            names, scores = [], []
-            for texts in text_batches(pdf["_text"].fillna("").tolist(), 400_000):
-                found, places, has = ngrams(texts)
-                total = np.tile(logp[BUCKETS], (len(texts), 1))
-                for h, at in zip(found, places):
-                    total += segment_sum(logp[h], at)
-                if not langs:
-                    has[:] = False
-                    total = np.zeros((len(texts), 1))
-                best = total.argmax(1)
-                share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                names += [langs[b] if ok else UND for b, ok in zip(best, has)]
-                scores += np.where(has, share, 0.0).tolist()
-            yield pdf.drop(columns="_text").assign(lang_pred=names, score=scores)
-
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in picked.drop("_text").dtypes)
-    return picked.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+        found, places, has = ngrams(texts)
+        if not langs:
+            return [[UND] * len(texts), np.zeros(len(texts))]
+        total = np.tile(logp[BUCKETS], (len(texts), 1))
+        for h, at in zip(found, places):
+            total += segment_sum(logp[h], at)
+        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [[langs[b] if ok else UND for b, ok in zip(total.argmax(1), has)], np.where(has, share, 0.0)]
+
+    return map_text(docs, keep, "lang_pred string, score double", compute, 400_000)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -24,16 +24,14 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import masked, segments, stage, table, text_batches
+from .common import map_text, masked, segments, stage, table
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -83,15 +81,7 @@ def gather_ranks(runs: np.ndarray) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, keep: list[str], k: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` and _fp, the fingerprint as a signed long."""
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in picked.drop("_text").dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [fingerprints_of(t, k) for t in text_batches(pdf["_text"].fillna("").tolist(), 4_000_000)]
-            yield pdf.drop(columns="_text").assign(_fp=np.concatenate(parts).view(np.int64) if parts else [])
-
-    return picked.mapInPandas(run, f"{kinds}, _fp long")
+    return map_text(docs, keep, "_fp long", lambda texts: [fingerprints_of(texts, k).view(np.int64)])
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
