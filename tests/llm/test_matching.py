@@ -142,6 +142,17 @@ def test_neighbours(spark):
     assert ann.search(few, F.col("vec_id") == 0).count() == 2 and ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    """Vectors that lie anywhere: neighbours are spread over many cells, which have to be probed."""
+    monkeypatch.setattr(ann, "CELL", 16)
+    x = np.random.default_rng(9).normal(size=(3_000, 48))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+    want = {(q, int(v)) for q in range(0, 3_000, 20) for v in np.argsort(-(x @ x[q]), kind="stable")[1:11]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
 def test_anisotropic_codes_lose_less_along():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1_500, 16))
