@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,21 @@ def test_quality(spark, docs, texts, no_docs):
     assert quality.filter_quality(docs, lab.limit(0)).where("text is not null and text <> ''").count() == docs.where("text is not null and text <> ''").count()
 
 
+def test_quality_calibrates_rare_languages(spark, monkeypatch):
+    """A language of a tenth of the trusted documents has enough of them, however few the model may be fitted on."""
+    monkeypatch.setattr(quality, "FIT_DOCS", 100)
+    rnd = random.Random(4)
+    words = {"en": "the quick brown fox jumps over a lazy dog while rain falls".split(), "de": "der schnelle braune fuchs springt über den faulen hund während".split()}
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(rnd.randint(20, 40))), g) for i, g in enumerate(["en"] * 1_080 + ["de"] * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = quality.classify(docs, lab, ["doc_id", "lang"]).collect()
+    limits = {g: {r["_threshold"] for r in got if r.lang == g} for g in ("de", "en")}
+    assert len(limits["de"]) == len(limits["en"]) == 1 and limits["de"] != limits["en"]
+    for g in ("de", "en"):
+        assert sum(r["_accepted"] for r in got if r.lang == g) >= 0.97 * sum(r.lang == g for r in got)
+
+
 def test_context_tree_matches_recursion():
     """The weighed tables against context-tree weighting by plain recursion."""
     data = [b"abab cab\n", b"abba\n", b"bab\n"]
