@@ -125,3 +125,11 @@ def test_glossary_candidates_equal_the_nested_loop(spark):
     got = {(r.k, r.term_id) for r in glossary.applicable(texts, t, ["k"]).collect()}
     want = {(r.k, r.id) for r in texts.crossJoin(t).where("contains(lower(text), lower(source_text))").collect()}
     assert got == want
+
+
+def test_terms_of_many_first_token_lengths(spark):
+    """Terms of more lengths of first tokens than are cut out of a text's tokens are found too."""
+    terms = spark.createDataFrame([(n, "x" * n + " end", f"t{n}") for n in range(1, 301)], "id int, source_text string, target_text string")
+    texts = spark.createDataFrame([(1, "so " + "x" * 300 + " End"), (2, "x" * 257 + " end"), (3, "none")], "line_id int, text string")
+    got = {(r.line_id, r.term_id) for r in glossary.applicable(texts, terms, ["line_id"]).collect()}
+    assert got == {(1, n) for n in range(1, 301)} | {(2, n) for n in range(1, 258)}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Distinct lengths of first tokens that a text's tokens are cut to at most.
+LENGTHS = 256
+
 
 def applicable(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, term_id, target_text for every term that occurs in a text, in any case.
@@ -24,10 +27,12 @@ def applicable(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "
     t = t.withColumn("_f", first).withColumn("_one", ~F.contains(F.col("_s"), F.lit(" ")))
     tokens = low.select("_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_k"))
     # Several tokens: the first one is the end of a token of the text.
-    lengths = [r[0] for r in t.where("not _one and _f <> ''").select(F.length("_f")).distinct().orderBy(F.length("_f")).limit(256).collect()]
+    # Beyond LENGTHS lengths of first tokens, terms go by ``contains`` alone.
+    lengths = [r[0] for r in t.where("not _one and _f <> ''").select(F.length("_f")).distinct().orderBy(F.length("_f")).limit(LENGTHS).collect()]
+    listed = F.length("_f").isin(lengths)
     ends = tokens.where(F.length("_k") > 0).select("_t", F.explode(F.array_distinct(F.array(*[F.when(F.length("_k") >= n, F.right("_k", F.lit(n))) for n in lengths] or [F.lit(None).cast("string")]))).alias("_f")).where("_f is not null").distinct()
-    many = ends.join(t.where("not _one and _f <> ''"), "_f").where(F.contains(F.col("_t"), F.col("_s")))
-    rest = low.join(t.where("_one or _f = ''"), F.contains(F.col("_t"), F.col("_s")))
+    many = ends.join(t.where("not _one and _f <> ''").where(listed), "_f").where(F.contains(F.col("_t"), F.col("_s")))
+    rest = low.join(t.where(F.expr("_one or _f = ''") | ~listed), F.contains(F.col("_t"), F.col("_s")))
     hits = many.select("_t", "term_id", "source_text", "target_text").unionByName(rest.select("_t", "term_id", "source_text", "target_text"))
     return texts.select(*key, F.lower(text).alias("_t")).join(hits, "_t").select(*key, "term_id", "source_text", "target_text")
 
