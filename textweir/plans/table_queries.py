@@ -85,6 +85,8 @@ for _mode, _sql in {"append": "concat_ws(chr(10), text, value)", "replace": "coa
     query(f"SELECT doc_id, seq, {_sql} AS written FROM tmap_v WHERE seq < 3", "tmap_v", name=f"write_mode_{_mode}")(
         lambda src, m=_mode: O.write_rows(src.tmap().where("seq < 3").withColumnRenamed("text", "source"), m).select("doc_id", "seq", "written")
     )
+    # All lines, of which that SQL writes the first three of a document.
+    query(name=f"write_mode_{_mode}_all")(lambda src, m=_mode: O.write_rows(src.tmap().withColumnRenamed("text", "source"), m).select("doc_id", "seq", "written"))
 
 
 @query()
