@@ -3,18 +3,20 @@
 A host's canonical key is its labels in reverse, each ended by U+0001, so a host
 with all its subdomains is one interval of keys, and the intervals of rules nest
 or are apart. The two ends of each rule host are boundaries; each carries the
-stack of rules that are active from there on. Urls and boundaries are dealt out
+stack of rules that are active from there on. Spark deals urls and boundaries out
 by ranges of (key, salt), so a host that a third of all urls share spreads over
-several ranges; every range begins with the stack that is active at its start.
+several ranges; every range begins with the stack of the last boundary before it.
 One sorted sweep per range hands each url the last boundary's stack; of that
-stack the longest rule whose path begins the url's path wins.
+stack the longest rule whose path begins the url's path wins. Nothing of the
+urls reaches the driver but Spark's own sample for the ranges.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and the default verdict; host rules never fit an empty host; of rules of
 equal length the longer host wins, then the smaller host and path; a rule given
 twice counts once, as a block if the verdicts differ; an empty rule list gives
 the default everywhere; repeated pages are judged one by one; null page ids are
-kept; further columns are ignored.
+kept; a url of any length is one row's work, its text never copied beyond host
+and path; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parallelism, table
+from .common import stage, table
 
 #: Ends a label; the next character ends the interval of all keys that go on from there.
 END, PAST = "\u0001", "\u0002"
-#: Url keys looked at to cut the ranges, for each range; this only balances tasks.
-SPLIT_SAMPLE = 50
-#: Ranges at most: a url finds its range by binary search in the list of cuts.
-MAX_RANGES = 4_096
-
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -68,51 +65,28 @@ def _boundaries(rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url); ``rules`` has verdict, host, path."""
-    spark = pages.sparkSession
     urls = pages.select("page_id", F.col("url").alias("_u"))
     host, path = split_url(F.col("_u"))
     urls = urls.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("key", host_key(F.col("host"))).withColumn("salt", F.xxhash64("page_id", "path"))
 
-    ranges = min(MAX_RANGES, 4 * parallelism(pages))
-    seen = [(r.key, r.salt) for r in urls.select("key", "salt", F.xxhash64("key", "salt").alias("_h")).orderBy("_h", "key", "salt").limit(ranges * SPLIT_SAMPLE).select("key", "salt").collect()]
-    seen.sort(key=lambda x: (x[0].encode(), x[1]))
-    cuts = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
-    splits = spark.createDataFrame([(k, s, i + 1) for i, (k, s) in enumerate(dict.fromkeys(cuts))], "key string, salt long, part int")
-    firsts = sorted(dict.fromkeys(cuts), key=lambda x: (x[0].encode(), x[1]))
-    points = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(s).cast("long").alias("salt")) for k, s in firsts]) if firsts else None
-    part = _rank(points, F.struct("key", "salt"), len(firsts)) if firsts else F.lit(0)
-    urls = urls.withColumn("part", part)
-
     low = F.lit(-(2**63)).cast("long")
     bounds = _boundaries(rules).withColumn("salt", low)
-    bounds = bounds.withColumn("part", part)
-    # What is active where each range begins: one sweep over the boundaries and cuts alone, no url among them.
-    fixed = bounds.select("key", "salt", "part", "stack", F.lit(False).alias("cut")).unionByName(splits.select("key", "salt", "part", F.lit(None).cast(bounds.schema["stack"].dataType).alias("stack"), F.lit(True).alias("cut")))
-    fixed = fixed.withColumn("stack", F.last("stack", True).over(W.orderBy("key", "salt", "cut").rowsBetween(W.unboundedPreceding, 0))).select("key", "salt", "part", "stack")
-
-    rows = urls.select("page_id", "host", "path", "key", "salt", "part", F.lit(True).alias("is_url"), F.lit(None).cast(bounds.schema["stack"].dataType).alias("stack")).unionByName(fixed.withColumn("is_url", F.lit(False)), allowMissingColumns=True)
-    swept = rows.withColumn("stack", F.last("stack", True).over(W.partitionBy("part").orderBy("key", "salt", "is_url").rowsBetween(W.unboundedPreceding, 0))).where("is_url")
-    fits = F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"]) & ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))))
+    kind = bounds.schema["stack"].dataType
+    rows = urls.select("page_id", "host", "path", "key", "salt", F.lit(True).alias("is_url"), F.lit(None).cast(kind).alias("stack")).unionByName(bounds.withColumn("is_url", F.lit(False)), allowMissingColumns=True)
+    # Written once, for a range is whatever Spark's own sample of the keys made of it.
+    ranged = stage(rows.repartitionByRange("key", "salt").withColumn("part", F.spark_partition_id()), "ranges")
+    # What is active where each range begins: the last boundary of the ranges before. One row a range goes through one task.
+    tops = ranged.groupBy("part").agg(F.max_by("stack", F.when(~F.col("is_url"), F.col("key"))).alias("top"))
+    opening = tops.select("part", F.last("top", True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("open"))
+
+    last = F.last("stack", True).over(W.partitionBy("part").orderBy("key", "salt", "is_url").rowsBetween(W.unboundedPreceding, 0))
+    swept = ranged.withColumn("last", last).where("is_url").join(F.broadcast(opening), "part")  # a row a range
+    active = F.coalesce("last", "open")
+    fits = F.filter(active, lambda r: F.startswith(F.col("path"), r["path"]) & ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))))
     best = F.get(fits, F.lit(0))
     return swept.withColumn("best", best).select("page_id", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _rank(points: Column, value: Column, n: int) -> Column:
-    """How many of the ``n`` sorted ``points`` are at or below ``value``, by halving."""
-    at = F.lit(0)
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        at = _advance(points, value, at, step, n)
-        step >>= 1
-    return at
-
-
-def _advance(points: Column, value: Column, at: Column, step: int, n: int) -> Column:
-    # One element array binds ``at`` once; nested expressions would double with each level.
-    moved = F.transform(F.array(at), lambda a: F.when((a + step <= n) & (F.get(points, a + (step - 1)) <= value), a + step).otherwise(a))
-    return F.get(moved, F.lit(0))
-
-
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "verdict string, host string, path string"))
 
