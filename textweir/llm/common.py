@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +119,14 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, lengths)
 
 
+def byte_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows of about ``limit`` bytes; a row of more begins and ends a run of its own."""
+    large = sizes > limit
+    run = np.cumsum(sizes) // limit + np.cumsum(large) * 2 + np.concatenate([[0], np.cumsum(large)[:-1]])[: len(sizes)]
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    yield from ((a, b - a) for a, b in zip(cuts[:-1], cuts[1:]) if b > a)
+
+
 def text_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters, which bounds the memory of what is computed for a run."""
     run, size = [], 0
@@ -178,10 +187,17 @@ class CachedTokenizer:
     FIRST, LINE = "\x1e", "\x1f"
     #: Pieces on their own for a full stop and a comma before a space.
     STOP, COMMA = "\x1d", "\x1c"
-    #: Pieces kept at most; the cache starts anew beyond it, which changes no id.
+    #: Pieces from which on those not met again are dropped (all, if half as many would stay), which changes no id.
     LIMIT = 500_000
-    _odd = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-    _odd_wide = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+    #: Bytes of text in one run; a longer text is cut into runs at spaces between letters or digits.
+    RUN = 8_000_000
+    #: Pieces encoded as one string, where each is letters alone and so one pre-token.
+    JOINED = 1_000
+    _odd = (
+        "  | \\n|\\n |\\n\\n|[\\t\\r\\x0b\\x0c\\x1c-\\x1f]"
+        "|[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    )
+    _seam = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -189,6 +205,11 @@ class CachedTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        vocabulary = self.tok.get_vocab()
+        # Which ids begin a word with its space, and which end one: the marks of the two kinds of vocabulary.
+        self.opens, self.closes = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.opens[i], self.closes[i] = token.startswith("\u0120"), token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
@@ -197,59 +218,115 @@ class CachedTokenizer:
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.plain_end = np.zeros(0, bool)
+        self.again = np.zeros(0, bool)
         self._learn([self.STOP, self.COMMA])
 
+    def _shrink(self) -> None:
+        """Keep the pieces that were met again since they were learned."""
+        self.again[:2] = True
+        keep = np.flatnonzero(self.again)
+        if len(keep) > self.LIMIT // 2:
+            return self._clear()
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat = self.flat[gather(self.start[keep], self.length[keep])]
+        self.length, self.plain_end = self.length[keep], self.plain_end[keep]
+        self.start, self.again = segments(self.length)[:-1], np.zeros(len(keep), bool)
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         marks = {self.FIRST: "", self.LINE: "\n", self.STOP: ".", self.COMMA: ","}
-        ids = self._encode([marks[p[0]] + p[1:] if p[:1] in marks else " " + p for p in pieces])
-        n, lengths = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
-        self.index.update(zip(pieces, range(n, n + len(pieces))))
-        self.start = np.concatenate([self.start, len(self.flat) + segments(lengths)[:-1]])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
-        self.plain_end = np.concatenate([self.plain_end, np.fromiter((p[-1:].isalnum() for p in pieces), bool, len(pieces))])
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """One uint32 array for each text."""
-        out: list[np.ndarray] = []
-        for part in text_batches(texts):
-            out += self._batch(part)
-        return out
-
-    def _is_odd(self, t: str) -> bool:
-        return any(x in t for x in self._odd) or not t.isascii() and any(x in t for x in self._odd_wide)
-
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        ids = self._encode([marks[p[0]] + p[1:] if p[:1] in marks else " " + p for p in others])
+        lengths, flat = self._joined(words)
+        n, more = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
+        self.index.update(zip(chain(words, others), range(n, n + len(pieces))))
+        self.length = np.concatenate([self.length, lengths, more])
+        self.flat = np.concatenate([self.flat, flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(more.sum()))])
+        self.start = segments(self.length)[:-1]
+        self.plain_end = np.concatenate([self.plain_end, np.ones(len(words), bool), np.fromiter((p[-1:].isalnum() for p in others), bool, len(others))])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words of letters alone with a space before each, many in one string; its marks tell them apart."""
+        lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for a in range(0, len(words), self.JOINED):
+            some = words[a : a + self.JOINED]
+            ids = np.array(self._encode([" " + " ".join(some)])[0], np.uint32)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(some) or first[0]:
+                first = np.concatenate([[0], np.flatnonzero(self.closes[ids])[:-1] + 1])
+            if len(first) == len(some):
+                size = np.diff(first, append=len(ids))
+            else:  # no marks: one by one
+                each = self._encode([" " + w for w in some])
+                size, ids = np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint32)
+            lengths.append(size)
+            flat.append(ids)
+        return np.concatenate(lengths), np.concatenate(flat)
+
+    def __call__(self, texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of an Arrow array of texts without nulls: runs (number of texts, their uint32 ids one after another, bounds of each text's)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for a, n in byte_runs(pc.binary_length(texts).to_numpy(zero_copy_only=False), self.RUN):
+            run = texts.slice(a, n)
+            if n == 1 and len(run[0].as_buffer()) > 2 * self.RUN:
+                made = [self._batch(pa.array([part])) for part in self._parts(run[0].as_py())]
+                flat = np.concatenate([f for f, _ in made])
+                yield 1, flat, np.array([0, len(flat)])
+            else:
+                yield n, *self._batch(run)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text cut before spaces between letters or digits, where both vocabularies cut it too."""
+        a = 0
+        while a < len(text):
+            found = self._seam.search(text, a + self.RUN)
+            b = found.start() if found else len(text)
+            yield text[a:b]
+            a = b
+
+    def _batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
         if len(self.index) > self.LIMIT:
-            self._clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        whole = {k for k, t in enumerate(texts) if self._is_odd(t)}
-        line, stop, comma = " " + self.LINE, f" {self.STOP} ", f" {self.COMMA} "
-        for k, t in enumerate(texts):
-            if t and k not in whole:
-                cut = t.replace("\n", line).replace(". ", stop).replace(", ", comma).split(" ")
-                if cut[0]:
-                    cut[0] = self.FIRST + cut[0]
-                else:
-                    del cut[0]
-                pieces += cut
-                counts[k] = len(cut)
-        if new := list(set(pieces).difference(self.index)):
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        bounds = segments(counts)
+            self._shrink()
+        odd = pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False)
+        cut = texts if not odd.any() else pc.if_else(odd, "", texts)
+        for found, mark in (("\n", " " + self.LINE), (". ", f" {self.STOP} "), (", ", f" {self.COMMA} ")):
+            cut = pc.replace_substring(cut, found, mark)
+        cut = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, cut, ""), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        pieces = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        distinct = pieces.dictionary.to_pylist()
+        known = np.fromiter((self.index.get(p, -1) for p in distinct), np.int64, len(distinct))
+        self.again[known[known >= 0]] = True
+        new = np.flatnonzero(known < 0).tolist()
+        if new:
+            self._learn([distinct[k] for k in new])
+            known[new] = [self.index[distinct[k]] for k in new]
+        at = known[pieces.indices.to_numpy()]
+        # A stop or comma that doesn't follow a letter or digit: there the cut isn't proven.
         marks = np.flatnonzero(at < 2)
-        first = np.searchsorted(bounds, marks, "right") - 1
-        whole.update(first[(bounds[first] == marks) | ~self.plain_end[at[marks - 1]]].tolist())
+        odd[np.searchsorted(bounds, marks[~self.plain_end[at[marks - 1]]], "right") - 1] = True
         lengths = self.length[at]
         flat = self.flat[gather(self.start[at], lengths)]
         ends = segments(lengths)[bounds]
+        rest = np.flatnonzero(odd)
+        if not len(rest):
+            return flat, ends
         out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        rest = sorted(whole)
-        for k, ids in zip(rest, self._encode([texts[k] for k in rest])):
+        for k, ids in zip(rest.tolist(), self._encode(texts.take(rest).to_pylist())):
             out[k] = np.array(ids, np.uint32)
-        return out
+        return np.concatenate(out), segments(np.fromiter(map(len, out), np.int64, len(out)))
+
+    def closed(self, texts, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As a call, with ``end_id`` behind each text's ids."""
+        for n, flat, bounds in self(texts):
+            yield n, np.insert(flat, bounds[1:], np.uint32(end_id)), bounds + np.arange(n + 1)

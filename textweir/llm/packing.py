@@ -59,7 +59,7 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[
         for i, n in enumerate(lengths):
             most = min(left[n] - uses.get(n, 0), want // n)
             # Most of the longest length after which the shorter ones still reach the rest.
-            k = next(k for k in range(most, -1, -1) if reach[i + 1] >> (want - k * n) & 1) if want or True else 0
+            k = next(k for k in range(most, -1, -1) if reach[i + 1] >> (want - k * n) & 1)
             if k:
                 uses[n] = uses.get(n, 0) + k
                 want -= k * n
@@ -77,19 +77,22 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[
 def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, n (ids with the end id), piece_crcs: one row per document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         tok = tokenizer(vocabulary)
-        for pdf in batches:
-            sizes, crcs = [], []
-            for ids in tok(pdf["text"].fillna("").tolist()):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                first = len(ids) % capacity
-                cuts = [0, *range(first or capacity, len(ids) + 1, capacity)]
-                sizes.append(len(ids))
-                crcs.append([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": sizes, "piece_crcs": crcs})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, piece_crcs array<long>")
+        for batch in batches:
+            ids, k = batch.column(0), 0
+            for n, flat, at in tok.closed(pc.fill_null(batch.column(1), ""), END_ID):
+                raw, crcs = memoryview(flat.astype("<u4", copy=False)).cast("B"), []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    cuts = [a, *range(a + ((b - a) % capacity or capacity), b + 1, capacity)]
+                    crcs.append([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cuts[:-1], cuts[1:])])
+                yield pa.RecordBatch.from_arrays([ids.slice(k, n), pa.array(np.diff(at)), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "n", "piece_crcs"])
+                k += n
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, piece_crcs array<long>")
 
 
 def _ranked(rows: DataFrame, key: str, salts: int) -> DataFrame:

@@ -60,7 +60,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     picked = docs.select(h.alias("_h"), F.substring("text", 1, DICT_CHARS).alias("text")).where((F.col("_h") <= int(share * (1 << 30))) & (F.length("text") > 0))
     rows = picked.orderBy("_h").limit(DICT_DOCS).collect()
-    samples = [ids.astype("<u4").tobytes() for ids in tokenizer(vocabulary)([r.text for r in rows])]
+    import pyarrow as pa
+
+    samples = [flat[a:b].astype("<u4").tobytes() for _, flat, at in tokenizer(vocabulary)(pa.array([r.text for r in rows], pa.string())) for a, b in zip(at[:-1], at[1:])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=3).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:  # too little to train on: frames then stand without one
@@ -75,15 +77,21 @@ def encode(docs: DataFrame, vocabulary: str, dictionary: bytes) -> DataFrame:
     """doc_id, n_tokens and the compressed frame of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         tok = tokenizer(vocabulary)
         packer = zstandard.ZstdCompressor(level=3, dict_data=_codec(sent.value), write_content_size=True)
-        for pdf in batches:
-            ids = tok(pdf["text"].fillna("").tolist())
-            frames = [packer.compress(np.append(x, np.uint32(END_ID)).astype("<u4").tobytes()) for x in ids]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) + 1 for x in ids], "frame": frames})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, frame binary")
+        for batch in batches:
+            ids, a = batch.column(0), 0
+            for n, flat, at in tok.closed(pc.fill_null(batch.column(1), ""), END_ID):
+                raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                frames = [packer.compress(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+                a += n
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
 
 BLOCK_SCHEMA = "block long, dict_sha256 string, doc_ids binary, null_ids binary, offsets binary, counts binary, frames binary"
