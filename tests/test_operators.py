@@ -4,7 +4,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from textweir.operators import chunks, glossary, layout, quality, segments, tables, terms
+from textweir.operators import chunks, folds, glossary, layout, quality, segments, tables, terms
 
 
 def test_chunks_lose_nothing(spark):
@@ -20,16 +20,62 @@ def test_chunks_lose_nothing(spark):
     assert [tuple(r) for r in order] == sorted((d, s) for d, s, *_ in rows)
 
 
+def plain_chunks(size, kind, ends, solid, ceiling, overlap):
+    """The chunk rule said again, element by element and without any shortcut."""
+    if not size:
+        return []
+    if sum(size) <= ceiling:
+        return [([], list(range(len(size))))]
+    out, nxt, carried = [], 0, []
+    while nxt < len(size):
+        taken = []
+        for i in range(nxt, len(size)):
+            if not carried and taken:
+                break
+            if carried and sum(size[j] for j in carried + taken) + size[i] > ceiling:
+                break
+            taken.append(i)
+        if not taken:
+            while carried and sum(size[j] for j in carried) + size[nxt] > ceiling:
+                carried = carried[:-1]
+            taken = [nxt]
+        if taken[-1] < len(size) - 1:
+            worths = []
+            for cut in range(1, len(taken)):
+                a, b = taken[cut - 1], taken[cut]
+                worths.append(0 if solid[a] else 3 if kind[a] == kind[b] == 0 else 2 if 1 in (kind[a], kind[b]) else 1 if ends[a] else 0)
+            if worths and max(worths):
+                taken = taken[: worths.index(max(worths)) + 1]
+        out.append((carried, taken))
+        nxt, tail = taken[-1] + 1, []
+        for j in reversed(taken):
+            if overlap <= 0 or sum(size[x] for x in tail) >= overlap:
+                break
+            tail = [j, *tail]
+        carried = tail
+    return out
+
+
+def test_chunks_are_those_of_the_plain_rule():
+    rnd = random.Random(11)
+    for _ in range(500):
+        n = rnd.randint(0, 30)
+        doc = [rnd.randint(0, 14) for _ in range(n)], [rnd.choice([0, 0, 1, 2, 2]) for _ in range(n)], [rnd.random() < 0.4 for _ in range(n)], [rnd.random() < 0.15 for _ in range(n)]
+        ceiling = rnd.randint(2, 30)
+        overlap = rnd.randint(0, ceiling - 1)
+        assert chunks.plan_chunks(*doc, ceiling, overlap) == plain_chunks(*doc, ceiling, overlap)
+
+
 def test_chunk_rules():
-    e = lambda n, t="text", c="x", s=False: {"type": t, "content": c, "tokens": n, "structured": s}
-    assert chunks.plan_chunks([], 10, 2) == []
-    assert chunks.plan_chunks([e(3), e(3)], 10, 2) == [([], [0, 1])]
-    assert chunks.plan_chunks([e(4)] * 4, 10, 2)[0] == ([], [0])  # the earliest of the best boundaries
-    assert chunks.plan_chunks([e(4)] * 4, 10, 2, latest=True)[0] == ([], [0, 1][:1])
-    assert chunks.plan_chunks([e(4, "table"), e(4, "table"), e(4, "title"), e(4)], 13, 0)[0] == ([], [0, 1])
-    assert chunks.plan_chunks([e(5), e(50), e(5)], 10, 2) == [([], [0]), ([], [1]), ([], [2])]
+    plan = lambda size, kind, overlap=2, ceiling=10, solid=False: chunks.plan_chunks(size, kind, [False] * len(size), [solid] * len(size), ceiling, overlap)
+    assert plan([], []) == []
+    assert plan([3, 3], [0, 0]) == [([], [0, 1])]
+    assert plan([4] * 4, [0] * 4)[0] == ([], [0])  # a first chunk has no overlap and so one element
+    assert plan([6, 2, 8, 1, 9], [2] * 5, overlap=4) == [([], [0]), ([0], [1]), ([1], [2]), ([2], [3]), ([3], [4])]
+    assert plan([2, 4, 4, 4, 9], [2, 2, 2, 1, 2], ceiling=14)[1] == ([0], [1, 2])  # cut before the title
+    assert plan([5, 50, 5], [0] * 3) == [([], [0]), ([], [1]), ([], [2])]  # nothing fits beside what is over the ceiling
     with pytest.raises(ValueError):
-        chunks.plan_chunks([e(1)], 10, 10)
+        plan([1], [0], overlap=10)
 
 
 def test_greedy_batches_match_a_fold(spark):
@@ -44,7 +90,7 @@ def test_greedy_batches_match_a_fold(spark):
             used += n
             want.append((d, s, batch))
     df = spark.createDataFrame(rows, "d long, s long, n long")
-    assert sorted(tuple(r) for r in segments.greedy_batches(df, "d", "s", F.col("n"), 100).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in folds.greedy_batches(df, "d", "s", F.col("n"), 100).collect()) == sorted(want)
 
 
 def test_overlap_tail(spark):

@@ -43,19 +43,3 @@ def test_flagship_values(spark):
     """Acceptance values at sf 0.01."""
     got = {r.lang: (r.segments, r.distinct_texts, r.hits) for r in registry.QUERIES["corpus_cache_plan"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {"de": (1314, 947, 333), "en": (5606, 4686, 1563), "es": (973, 854, 270), "fr": (1390, 1115, 377)}
-
-
-#: Queries over whole tables by the one whose SQL holds a filter, and that filter.
-WHOLE = {"length_guard": "WHERE doc_id % 2 = 0", "write_mode_append": "WHERE seq < 3", "write_mode_replace": "WHERE seq < 3", "write_mode_bilingual": "WHERE seq < 3"}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_tables(spark, duck, name):
-    sql = registry.ORACLES[name]
-    assert sql.count(WHOLE[name]) == 1
-    df = registry.QUERIES[f"{name}_all"](spark, DIR)
-    got = sorted(str(tuple(plain(x) for x in r)) for r in df.collect())
-    res = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({sql.replace(WHOLE[name], '')}) q")
-    want = sorted(str(tuple(plain(x) for x in r)) for r in res.fetchall())
-    print("ROWS", name, len(duck.execute(sql).fetchall()), len(want))
-    assert got == want and len(got) > registry.QUERIES[name](spark, DIR).count()

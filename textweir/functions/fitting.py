@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import text_width
+
 # Fixed values.
 MIN_SIZE, SPACINGS, TRACKING, MAX_OVERFLOW = 8.0, (1.10, 1.05, 1.0), (-0.002, -0.005), 0.15
 FIRST_SPACING = 1.15
+MAX_SIZE, PADDING, LEADING, SHRINK = 72.0, 0.85, 1.2, 0.9
 _wide = re.compile("[一-鿿㐀-䶿　-〿぀-ヿ가-힯豈-﫿＀-｠]")
 RESULT = "font_size double, line_spacing double, letter_spacing double, overflow boolean, truncated boolean, fitted string"
 
@@ -82,6 +85,32 @@ def fit(text: str, wide: float, tall: float, size: float, below: float) -> tuple
     return MIN_SIZE, 1.0, TRACKING[-1], False, True, truncate(text, MIN_SIZE, 1.0, wide, tall)
 
 
+def starting_size(tall: Column, lines: Column) -> Column:
+    """The type size that so many lines leave room for in a box, within bounds."""
+    return F.greatest(F.lit(MIN_SIZE), F.least(F.lit(MAX_SIZE), tall / lines * PADDING / LEADING))
+
+
+def shrink(text: str, wide: float, tall: float, size: float) -> tuple[float, bool]:
+    """(size, fits): type made smaller by a tenth until unwrapped lines fit, the least size at last."""
+    lines = text.split("\n")
+    while size >= MIN_SIZE:
+        if max(width(x, size) for x in lines) <= wide and size * LEADING * len(lines) <= tall:
+            return size, True
+        size *= SHRINK
+    return max(size, MIN_SIZE), False
+
+
+def shrink_fit(text: Column, wide: Column, tall: Column, start: Column) -> Column:
+    """As ``shrink``, in closed form: the first power of the factor at which both the widest line and all lines fit; a struct (size, fits)."""
+    lines = F.split(text, "\n")
+    unit = F.array_max(F.transform(lines, lambda x: text_width(x, 1.0)))
+    most = F.least(F.when(unit > 0, wide / unit).otherwise(F.lit(float("inf"))), tall / (F.size(lines) * LEADING))
+    step = lambda k: start * F.pow(F.lit(SHRINK), k)
+    k = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.lit(61), lambda a, i: F.when((a > 60) & ((step(i) <= most) | (step(i) < MIN_SIZE)), i).otherwise(a))
+    size = step(k)
+    return F.struct(F.greatest(size, F.lit(MIN_SIZE)).alias("size"), ((size >= MIN_SIZE) & (size <= most)).alias("fits"))
+
+
 def _fit_batch(text: pd.Series, wide: pd.Series, tall: pd.Series, size: pd.Series, below: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([fit(t or "", w, h, s, b) for t, w, h, s, b in zip(text, wide, tall, size, below)], columns=[c.split()[0] for c in RESULT.split(", ")])
 

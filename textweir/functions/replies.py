@@ -10,6 +10,7 @@ from .text import strip
 # Fixed values.
 MARKER = r"<<<SEG_(\d+)>>>"
 SEPARATORS = ["---SEGMENT_SEPARATOR---", "\n---\n", "\n\n---\n\n", "---"]
+NOT_SAID = [(r"\*{1,2}(.+?)\*{1,2}", "$1"), (r"<<<?/?(?:SEP|END|SEG_\d+)>>>?", ""), (r"(?U)</?[A-Z][A-Z0-9_]*(?:\s[^>]*)?>", "")]
 COMMENTARY = r"(?iU)^(?:(?:Final decision|Note|Output|Translation|Explanation|Answer|Result|Remark|Comment)\s*[:：]|→\s|\(Note[:：]|\((?:người|Revision|Version|Name|Date|Release|New Issue)[^)]*\)\s*$)"
 
 
@@ -38,9 +39,9 @@ def split_reply(reply: Column, n: Column) -> Column:
 
 def sanitize(c: Column) -> Column:
     """A translation without emphasis marks, markers, invented tags, commentary and a leading Latin preamble; never empty."""
-    t = F.regexp_replace(c, r"\*{1,2}(.+?)\*{1,2}", "$1")
-    t = F.regexp_replace(t, r"<<<?/?(?:SEP|END|SEG_\d+)>>>?", "")
-    t = F.regexp_replace(t, r"(?U)</?[A-Z][A-Z0-9_]*(?:\s[^>]*)?>", "")
+    t = c
+    for pattern, kept in NOT_SAID:
+        t = F.regexp_replace(t, pattern, kept)
     dropped = lambda s: (s == "") | s.rlike(COMMENTARY) | (F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")")) & (F.length(s) > 20))
     lines = F.filter(F.split(t, "\n"), lambda x: ~dropped(strip(x)))
     foreign = F.array_position(F.transform(lines, lambda x: x.rlike(r"[\p{L}&&[^\x{00}-\x{7F}]]")), F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ NOISE_PATTERNS = [
     r"^\d+[ΦΦ]",
     r"^[A-D]\d$",
     r"(?i)^[A-Z]{1,3}-[A-Z]{1,4}\d{2,}",
-    r"(?i)^(username|usename|password|panjit)$",
+    r"(?i)^(username|usename|password)$",
     r"^.?$",
     r"(?i)^Profiling\s",
 ]
@@ -61,6 +63,11 @@ def normalize(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
 
 
+def folded(c: Column) -> Column:
+    """White space collapsed and case folded, for comparing; long s and sharp s count as the letters they stand for."""
+    return F.replace(F.replace(F.lower(F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
+
+
 def has_cjk(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(r"[\x{4E00}-\x{9FFF}]")
 
@@ -134,7 +141,7 @@ def token_estimate(c: Column) -> Column:
 
 
 def is_failure(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(r"^\[(?:" + "|".join(p.replace("|", r"\|").replace("]", r"\]") for p in FAILURE_PREFIXES) + ")")
+    return F.coalesce(c, F.lit("")).rlike(r"^\[(?:" + "|".join(map(re.escape, FAILURE_PREFIXES)) + ")")
 
 
 def is_refusal(c: Column) -> Column:
@@ -142,8 +149,9 @@ def is_refusal(c: Column) -> Column:
     return (t != "") & (F.length(t) <= REFUSAL_MAX_CHARS) & F.exists(F.array(*[F.lit(p) for p in REFUSAL_PHRASES]), lambda p: F.contains(F.lower(t), p))
 
 
-def is_noise_term(c: Column) -> Column:
-    out = F.lit(False)
+def is_noise_term(c: Column, site_words: list[str] | None = None) -> Column:
+    """Measures, codes, form labels; and ``site_words``, a site's own names, in any case."""
+    out = F.lower(c).isin([w.lower() for w in site_words]) if site_words else F.lit(False)
     for p in NOISE_PATTERNS:
         out = out | c.rlike(p)
     return out

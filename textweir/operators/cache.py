@@ -23,8 +23,8 @@ def first_write_wins(batch: DataFrame, cache: DataFrame, *order: str) -> DataFra
 
 
 def of_model(model: Column, name: str) -> Column:
-    """Whether a cached row belongs to a model or one of its variants (``name::..``), in any case."""
-    return (F.lower(model) == name.lower()) | F.startswith(F.lower(model), F.lit(name.lower() + "::"))
+    """Whether a cached row belongs to a model or one of its variants (``name::..``), in any case; ``_`` and ``%`` in the name are LIKE's."""
+    return (F.lower(model) == name.lower()) | F.like(F.lower(model), F.lit(name.lower() + "::%"))
 
 
 def clear_model(cache: DataFrame, name: str) -> DataFrame:
@@ -33,3 +33,8 @@ def clear_model(cache: DataFrame, name: str) -> DataFrame:
 
 def purge_blank(cache: DataFrame) -> DataFrame:
     return cache.where(~F.coalesce(F.col("translation"), F.lit("")).rlike(r"(?U)^\s*$"))
+
+
+def critique_key(key: Column) -> Column:
+    """The key under which a critique's revision is cached."""
+    return F.concat(key, F.lit(":c"))

@@ -2,39 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Distinct lengths of first tokens that a text's tokens are cut to at most.
-LENGTHS = 256
+#: Characters of the gram by which terms and tokens meet; shorter terms meet by all they have.
+GRAM = 3
+#: Query vectors in a broadcast block.
+BLOCK = 4_096
 
 
-def applicable(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """key, term_id, target_text for every term that occurs in a text, in any case.
-
-    Distinct texts are met with the terms through each term's first token, so
-    the theta join on ``contains`` only sees candidates: a token of the text that
-    ends with the term's first token, or contains it if the term has no other.
-    Candidates come from the text's distinct tokens by equality of the token's
-    suffixes or, for one-token terms, of its substrings of the term's length.
-    Terms without a letter or digit at either end of their first token go by
-    ``contains`` alone, as there are few.
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(c, " "), lambda x: x != "")
+
+
+def occurring(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """_h, needle for every needle that a text (_h, _t) contains; a needle of spaces alone is none.
+
+    Both sides are distinct and lower-cased by the caller. A needle's longest
+    token lies within some token of a text that contains it; so the distinct
+    tokens of all texts meet the needles by an equi-join on the first ``GRAM``
+    characters of that longest token, exploded from each distinct token's own
+    substrings, and texts get their needles from their tokens. Only a needle of
+    several tokens is looked for in the text itself. No side is broadcast and
+    nothing is compared with everything.
     """
-    low = texts.select(F.lower(text).alias("_t")).where("_t <> ''").distinct()
-    t = terms.select(F.col("id").alias("term_id"), "source_text", "target_text", F.lower("source_text").alias("_s")).where("_s <> ''")
-    first = F.split("_s", " ")[0]
-    t = t.withColumn("_f", first).withColumn("_one", ~F.contains(F.col("_s"), F.lit(" ")))
-    tokens = low.select("_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_k"))
-    # Several tokens: the first one is the end of a token of the text.
-    # Beyond LENGTHS lengths of first tokens, terms go by ``contains`` alone.
-    lengths = [r[0] for r in t.where("not _one and _f <> ''").select(F.length("_f")).distinct().orderBy(F.length("_f")).limit(LENGTHS).collect()]
-    listed = F.length("_f").isin(lengths)
-    ends = tokens.where(F.length("_k") > 0).select("_t", F.explode(F.array_distinct(F.array(*[F.when(F.length("_k") >= n, F.right("_k", F.lit(n))) for n in lengths] or [F.lit(None).cast("string")]))).alias("_f")).where("_f is not null").distinct()
-    many = ends.join(t.where("not _one and _f <> ''").where(listed), "_f").where(F.contains(F.col("_t"), F.col("_s")))
-    rest = low.join(t.where(F.expr("_one or _f = ''") | ~listed), F.contains(F.col("_t"), F.col("_s")))
-    hits = many.select("_t", "term_id", "source_text", "target_text").unionByName(rest.select("_t", "term_id", "source_text", "target_text"))
-    return texts.select(*key, F.lower(text).alias("_t")).join(hits, "_t").select(*key, "term_id", "source_text", "target_text")
+    n = needles.withColumn("_k", F.element_at(F.array_sort(F.transform(_tokens(F.col("needle")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]).where("_k is not null")
+    n = n.withColumn("_g", F.left("_k", F.lit(GRAM)))
+    postings = texts.select("_h", F.explode(F.array_distinct(_tokens(F.col("_t")))).alias("_w"))
+    words = postings.select("_w").distinct()
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.when(F.length("_w") >= k, F.transform(F.sequence(F.lit(1), F.length("_w") - k + 1), lambda i: F.substring(F.col("_w"), i, k))).otherwise(F.array().cast("array<string>")))))
+    met = words.select("_w", F.explode(grams).alias("_g")).join(n, "_g").where(F.contains(F.col("_w"), F.col("_k"))).select("_w", "needle", (F.col("needle") == F.col("_k")).alias("_whole"))
+    pairs = postings.join(met, "_w").select("_h", "needle", "_whole").distinct()
+    several = pairs.where("not _whole").join(texts, "_h").where(F.contains(F.col("_t"), F.col("needle"))).select("_h", "needle")
+    return pairs.where("_whole").select("_h", "needle").unionByName(several)
+
+
+def applicable(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, term_id, source_text, target_text for every term that occurs in a text, in any case; a blank term occurs nowhere."""
+    low = texts.select(*key, F.lower(text).alias("_t")).where("_t <> ''").withColumn("_h", F.sha2("_t", 256))
+    t = terms.select(F.col("id").alias("term_id"), "source_text", "target_text", F.lower("source_text").alias("needle"))
+    hits = occurring(low.select("_h", "_t").distinct(), t.select("needle").distinct())
+    return low.select(*key, "_h").join(hits, "_h").join(t, "needle").select(*key, "term_id", "source_text", "target_text")
 
 
 def enforce(drafts: DataFrame, hits: DataFrame, key: list[str], draft: str = "draft") -> DataFrame:
@@ -51,35 +66,86 @@ def match_rate(drafts: DataFrame, hits: DataFrame, key: list[str], draft: str) -
 
 
 def audit(translations: DataFrame, terms: DataFrame, job: str, value: str) -> DataFrame:
-    """Per job: hit rate of approved terms in all its translations, those not applied, and rejected ones that leaked as words."""
-    said = translations.groupBy(job).agg(F.lower(F.array_join(F.array_sort(F.collect_list(value)), " ")).alias("_all"))
-    judged = said.crossJoin(F.broadcast(terms.where("status in ('approved', 'rejected')").select("source_text", "target_text", "status")))  # a glossary's reviewed terms, checked by the caller
-    quoted = F.concat(F.lit(r"(?iU)\b"), F.regexp_replace(F.lower("target_text"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b"))
-    hit = F.when(F.col("status") == "approved", F.contains(F.col("_all"), F.lower("target_text"))).otherwise(F.expr("regexp_like(_all, _q)"))
-    rows = judged.withColumn("_q", quoted).withColumn("_hit", hit)
-    ok = F.col("status") == "approved"
-    return rows.groupBy(job).agg(
-        F.count_if(ok).alias("total"),
-        F.count_if(ok & F.col("_hit")).alias("matched"),
-        F.array_sort(F.collect_list(F.when(ok & ~F.col("_hit"), F.col("source_text")))).alias("unapplied"),
-        F.array_sort(F.collect_list(F.when(~ok & F.col("_hit"), F.col("source_text")))).alias("rejected_injections"),
-    ).withColumn("hit_rate", F.when(F.col("total") == 0, 1.0).otherwise(F.col("matched") / F.col("total")))
-
+    """Per job: hit rate of approved terms in its translations, those not applied, and rejected ones that leaked as words.
 
-def state_digest(terms: DataFrame) -> DataFrame:
-    """First eight hex digits of the digest of all pairs in order; one row."""
-    pairs = F.array_sort(F.collect_list(F.concat_ws("\u0000", "source_text", "target_text")))
-    return terms.agg(F.substring(F.sha2(F.array_join(pairs, "\n"), 256), 1, 8).alias("digest"))
+    A term is applied where a translation, or two in a row (sorted, a space
+    between), contain its target in any case; so no job's whole text is ever one
+    value, and a target has to lie within two translations. Distinct targets meet
+    distinct texts through their tokens.
+    """
+    w = W.partitionBy(job).orderBy(F.lower(value))
+    low = translations.where(F.col(value).isNotNull()).select(job, F.lower(value).alias("_v"), F.lag(F.lower(value)).over(w).alias("_before"))
+    said = low.select(job, F.concat_ws(" ", "_before", "_v").alias("_t")).distinct().withColumn("_h", F.sha2("_t", 256))
+    reviewed = terms.where("status in ('approved', 'rejected')").select("source_text", F.lower("target_text").alias("needle"), "status")
+    texts = said.select("_h", "_t").distinct()
+    found = occurring(texts, reviewed.select("needle").distinct())
+    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("needle", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b"))
+    worded = found.join(texts, "_h").withColumn("_q", quoted).select("_h", "needle", F.expr("regexp_like(_t, _q)").alias("_word"))
+    per = said.select(job, "_h").join(worded, "_h").groupBy(job, "needle").agg(F.bool_or("_word").alias("_word"))
+    ok = F.col("status") == "approved"
+    hits = per.join(reviewed, "needle").where((F.col("status") == "approved") | F.col("_word"))
+    ok = F.col("status") == "approved"
+    # One row: the approved terms, which every job's answer lists or counts.
+    everything = reviewed.where(ok).agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.struct("source_text", "needle"))).alias("_all"))
+    of_job = hits.groupBy(job).agg(F.count_if(ok).alias("_m"), F.collect_set(F.when(ok, F.col("needle"))).alias("_n"), F.array_sort(F.collect_list(F.when(~ok, F.col("source_text")))).alias("_r"))
+    out = translations.select(job).distinct().crossJoin(F.broadcast(everything)).join(of_job, job, "left")
+    none = F.array().cast("array<string>")
+    missed = F.transform(F.filter("_all", lambda x: ~F.coalesce(F.array_contains("_n", x["needle"]), F.lit(False))), lambda x: x["source_text"])
+    matched = F.coalesce("_m", F.lit(0)).cast("long")
+    return out.select(job, "total", matched.alias("matched"), missed.alias("unapplied"), F.coalesce("_r", none).alias("rejected_injections"), F.when(F.col("total") == 0, 1.0).otherwise(matched / F.col("total")).alias("hit_rate"))
+
+
+def state_digest(terms: DataFrame, group: str) -> DataFrame:
+    """group, digest: first eight hex digits of the digest of all its pairs in order, streamed through one running digest a group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, done = None, None, []
+        for pdf in batches:
+            for g, pair in zip(pdf["_g"], pdf["_p"]):
+                if state is None or g != now:
+                    if state is not None:
+                        done.append((now, state.hexdigest()[:8]))
+                    now, state = g, hashlib.sha256()
+                    state.update(pair.encode())
+                else:
+                    state.update(b"\n" + pair.encode())
+            yield pd.DataFrame(done, columns=[group, "digest"])
+            done = []
+        if state is not None:
+            yield pd.DataFrame([(now, state.hexdigest()[:8])], columns=[group, "digest"])
+
+    pairs = terms.select(F.col(group).alias("_g"), F.concat_ws("\u0000", "source_text", "target_text").alias("_p"))
+    return pairs.repartition("_g").sortWithinPartitions("_g", "_p").mapInPandas(run, f"{group} string, digest string")
 
 
 def similarity(queries: DataFrame, candidates: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Candidates whose largest cosine to any query reaches ``least``. Queries go in a broadcast block; each candidate is read once."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df, name: df.select(key, F.col(vector).alias(name), F.sqrt(dot(F.col(vector), F.col(vector))).alias(f"_{name}"))
-    q = unit(queries, "q").where("_q > 0").select("q", "_q")
-    c = unit(candidates, "c").where("_c > 0")
-    scored = c.join(q, F.lit(True), "cross").select(key, (dot(F.col("q"), F.col("c")) / (F.col("_q") * F.col("_c"))).alias("s"))
-    return scored.groupBy(key).agg(F.max("s").alias("score")).where(F.col("score") >= least)
+    """Candidates whose largest cosine to any query reaches ``least``; a zero vector, or one of another length, is none.
+
+    Queries come in blocks of ``BLOCK`` unit vectors, each broadcast for one scan
+    of the candidates: two matrices are multiplied per batch and block.
+    """
+    spark = queries.sparkSession
+    some = lambda df: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("_v")).where(F.exists("_v", lambda x: x != 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    schema = f"{key} long, s double"
+
+    def scan(sent, n: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    c = np.stack(pdf["_v"].to_numpy())
+                    yield pd.DataFrame({key: pdf[key], "s": ((c / np.linalg.norm(c, axis=1, keepdims=True)) @ sent.value.T).max(1)})
+
+        return some(candidates).where(F.size("_v") == n).mapInPandas(run, schema)
+
+    out, held = spark.createDataFrame([], schema), {}
+    rows = some(queries).select("_v").toLocalIterator()
+    for v in chain((r[0] for r in rows), [None]):
+        if v is not None:
+            held.setdefault(len(v), []).append(v)
+        for n in [n for n, x in held.items() if len(x) >= BLOCK or v is None]:
+            q = np.array(held.pop(n))
+            out = out.unionByName(scan(spark.sparkContext.broadcast(q / np.linalg.norm(q, axis=1, keepdims=True)), n))
+    return out.groupBy(key).agg(F.max("s").alias("score")).where(F.col("score") >= least)
 
 
 def by_window(df: DataFrame, partition: str, order, n: int) -> DataFrame:

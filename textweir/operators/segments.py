@@ -1,4 +1,4 @@
-"""Operators on ordered segments: first seen, context, running budgets, greedy folds and restoring."""
+"""Operators on ordered segments: first seen, context, running budgets and restoring."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import running
+
 
 def first_seen(df: DataFrame, text: str, *order: str) -> DataFrame:
     """One row per distinct text, the first in order, with its multiplicity."""
@@ -28,8 +30,10 @@ def sample_prefix(df: DataFrame, partition: str, order: str, text: str, chars: i
 
 
 def budget_prefix(df: DataFrame, partition: str | None, order: list[Column], cost: Column, budget: Column | float) -> DataFrame:
-    """Rows up to, and without, the first whose running cost passes the budget."""
-    w = (W.partitionBy(partition) if partition else W.partitionBy(F.lit(0))).orderBy(*order)
+    """Rows up to, and without, the first whose running cost passes the budget; without a partition over all rows."""
+    if not partition:
+        return running(df, order, cost).where(F.col("total") <= budget).drop("position", "total")
+    w = W.partitionBy(partition).orderBy(*order)
     return df.withColumn("_run", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_run") <= budget).drop("_run")
 
 
@@ -39,20 +43,6 @@ def overlap_tail(df: DataFrame, partition: str, order: str, tokens: str, overlap
     return df.withColumn("_later", later).where(F.col("_later") < overlap).drop("_later")
 
 
-def greedy_batches(df: DataFrame, partition: str, order: str, size: Column, cap: int) -> DataFrame:
-    """Adds batch: a row starts the next batch where it would take the open one over ``cap``; one fold per group."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("batch"), F.array().cast(f"array<struct<o:{dict(df.dtypes)[order]},batch:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["out"]) > 0) & (acc["used"] + x["n"] > cap)
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(F.when(full, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("batch")))).alias("out"))
-
-    folded = df.groupBy(partition).agg(F.aggregate(items, start, step)["out"].alias("_out"))
-    return folded.select(partition, F.explode("_out").alias("_x")).select(partition, F.col("_x.o").alias(order), F.col("_x.batch").alias("batch"))
-
-
 def restore(segments: DataFrame, translations: DataFrame, keys: list[str], null_safe: str | None = None) -> DataFrame:
     """Every segment with its translation where there is one; ``null_safe`` names a key column where null equals null."""
     t = translations.select(*[F.col(k).alias(f"_{k}") for k in keys], *([F.col(null_safe).alias(f"_{null_safe}")] if null_safe else []), "target", "value")

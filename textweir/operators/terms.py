@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["source_text", "target_lang", "domain"]
@@ -90,3 +91,15 @@ def union_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     """Candidates (term, pos) of both without repeats in any case, the first one staying."""
     both = first.select("term", F.lit(0).alias("s"), "pos").unionByName(second.select("term", F.lit(1).alias("s"), "pos"))
     return both.groupBy(F.lower("term").alias("_k")).agg(F.min(F.struct("s", "pos", "term")).alias("f")).select("f.term", "f.s", "f.pos")
+
+
+def sheets(terms: DataFrame) -> DataFrame:
+    """Adds sheet and line: a workbook's sheet per target language, its title cut to 31 characters, lines by id."""
+    return terms.withColumn("line", F.row_number().over(W.partitionBy("target_lang").orderBy("id")).cast("long")).withColumn("sheet", F.left("target_lang", F.lit(31)))
+
+
+def export_json(terms: DataFrame, exported_at: Column, version: str = "1.0") -> DataFrame:
+    """One row: the envelope of a whole export (version, exported_at, terms by id, without their times). For a store too large for one value, ``write_terms`` writes rows."""
+    cols = [c for c in (*COLUMNS, "context_snippet") if c in terms.columns]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", F.struct(*cols).alias("t")))), lambda x: x["t"])
+    return terms.agg(F.to_json(F.struct(F.lit(version).alias("version"), exported_at.alias("exported_at"), listed.alias("terms"))).alias("json"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None, *views: str, name: str | None = None):
     return add
 
 
-from . import layout_queries, quality_queries, table_queries, term_queries, text_queries  # noqa: E402,F401
+from . import function_queries, job_queries, layout_queries, page_queries, quality_queries, table_queries, term_queries, text_queries  # noqa: E402,F401

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import glossary as G
 from ..operators import segments as S
 from ..operators import terms as O
+from ..operators.folds import running
 from ..sources.views import Source
 from .registry import query
 
@@ -31,7 +31,7 @@ def term_top_by_usage(src: Source) -> DataFrame:
 @query("SELECT id, source_text, target_text, status, row_number() OVER (ORDER BY id DESC) AS position FROM terms_v WHERE status = 'unverified' AND domain = 'technical'", "terms_v")
 def term_listing(src: Source) -> DataFrame:
     kept = src.terms().where("status = 'unverified' and domain = 'technical'")
-    return kept.select("id", "source_text", "target_text", "status", F.row_number().over(W.orderBy(F.desc("id"))).cast("long").alias("position"))
+    return running(kept, [F.desc("id")], F.lit(1)).select("id", "source_text", "target_text", "status", "position")
 
 
 def _upsert_sql(strategy: str) -> str:
@@ -84,7 +84,7 @@ def term_document(src: Source) -> DataFrame:
     """Approved terms that a document names, the surest first."""
     named = src.table("part").where("p_size > 25").select(F.col("p_name").alias("source_text"))
     found = src.terms().where(O.injectable()).join(named, "source_text", "left_semi")
-    return found.select("id", "source_text", F.row_number().over(W.orderBy(F.desc("confidence"), F.desc("usage_count"), "id")).cast("long").alias("position"))
+    return running(found, [F.desc("confidence"), F.desc("usage_count"), F.col("id")], F.lit(1)).select("id", "source_text", "position")
 
 
 @query("""SELECT id, domain FROM (SELECT id, domain, sum(CAST(floor(length(concat(source_text, target_text)) / 2.5) AS BIGINT)) OVER (PARTITION BY domain ORDER BY confidence DESC, usage_count DESC, id) AS run FROM terms_v) t WHERE run <= 1024""", "terms_v")
@@ -121,6 +121,16 @@ def glossary_applicable(src: Source) -> DataFrame:
     return G.applicable(texts, terms, ["line_id"])
 
 
+@query("""WITH w AS (SELECT p_size AS id, min(p_name) AS source_text, min(p_type) AS target_text FROM part GROUP BY p_size), l AS (SELECT p_partkey AS line_id, concat_ws(' ', 'x' || p_name, lower(p_type), p_brand) AS text FROM part)
+SELECT line_id, id AS term_id, source_text FROM l, w WHERE contains(lower(text), lower(w.source_text))""")
+def glossary_applicable_phrases(src: Source) -> DataFrame:
+    """Terms of several words, whose first is only the end of a word of the text."""
+    p = src.table("part")
+    texts = p.select(F.col("p_partkey").alias("line_id"), F.concat_ws(" ", F.concat(F.lit("x"), "p_name"), F.lower("p_type"), "p_brand").alias("text"))
+    words = p.groupBy(F.col("p_size").alias("id")).agg(F.min("p_name").alias("source_text"), F.min("p_type").alias("target_text"))
+    return G.applicable(texts, words, ["line_id"]).select("line_id", "term_id", "source_text")
+
+
 @query(f"{_HITS} SELECT l.line_id, CASE WHEN t IS NULL THEN concat('<', text, '>') ELSE list_reduce(list_prepend(concat('<', text, '>'), t), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE concat(rtrim(a), ' ', x) END) END AS enforced FROM l LEFT JOIN (SELECT line_id, list(target_text ORDER BY id) AS t FROM h GROUP BY line_id) g USING (line_id)")
 def glossary_enforced(src: Source) -> DataFrame:
     texts, terms = _lines(src)
@@ -134,14 +144,14 @@ def glossary_match_rate(src: Source) -> DataFrame:
     return G.match_rate(texts, G.applicable(texts, terms, ["line_id"]), ["line_id"], "text").select("line_id", F.round("rate", 6).alias("rate"))
 
 
-_AUDIT = """WITH t AS (SELECT source_text, target_text, status FROM terms_v WHERE id <= 60 AND status IN ('approved', 'rejected')),
+_AUDIT = """WITH t AS (SELECT source_text, target_text, status FROM terms_v WHERE status IN ('approved', 'rejected')),
  j AS (SELECT p_size AS job, lower(string_agg(lower(p_type), ' ' ORDER BY lower(p_type))) AS a FROM part GROUP BY p_size),
  r AS (SELECT job, source_text, status, CASE WHEN status = 'approved' THEN contains(a, target_text) ELSE regexp_matches(a, '\\b' || target_text || '\\b') END AS hit FROM j, t)"""
 
 
 def _audit(src: Source) -> DataFrame:
     said = src.table("part").select(F.col("p_size").alias("job"), F.lower("p_type").alias("value"))
-    return G.audit(said, src.terms().where("id <= 60"), "job", "value")
+    return G.audit(said, src.terms(), "job", "value")
 
 
 @query(_AUDIT.replace("\\\\", "\\") + " SELECT job, count(*) FILTER (WHERE status = 'approved') AS total, count(*) FILTER (WHERE status = 'approved' AND hit) AS matched, round(count(*) FILTER (WHERE status = 'approved' AND hit) / count(*) FILTER (WHERE status = 'approved'), 6) AS hit_rate FROM r GROUP BY job", "terms_v")
@@ -156,8 +166,7 @@ def term_audit_rejected(src: Source) -> DataFrame:
 
 @query("SELECT domain, substr(sha256(string_agg(concat(source_text, chr(0), target_text), chr(10) ORDER BY concat(source_text, chr(0), target_text))), 1, 8) AS digest FROM terms_v WHERE status = 'approved' GROUP BY domain", "terms_v")
 def glossary_digest(src: Source) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.concat_ws("\u0000", "source_text", "target_text")))
-    return src.terms().where("status = 'approved'").groupBy("domain").agg(F.substring(F.sha2(F.array_join(pairs, "\n"), 256), 1, 8).alias("digest"))
+    return G.state_digest(src.terms().where("status = 'approved'"), "domain")
 
 
 @query(f"SELECT id, {_COLS} FROM terms_v", "terms_v")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cache as C
-from ..operators import chunks
+from ..operators import chunks, folds
 from ..operators import segments as S
 from ..sources.views import Source
 from .registry import query
@@ -30,7 +30,8 @@ NORM = r"lower(trim(regexp_replace({0}, '[\s\p{{Z}}]+', ' ', 'g')))"
 )
 def corpus_cache_plan(src: Source) -> DataFrame:
     """Translatable lines, distinct ones, cache hits and the model calls that neither repeats nor hits need."""
-    kept = src.segments().where(T.should_translate(F.col("text"))).groupBy("lang", "text").agg(F.count("*").alias("n"))
+    # Rules and digests see each distinct line once.
+    kept = src.segments().groupBy("lang", "text").agg(F.count("*").alias("n")).where(T.should_translate(F.col("text")))
     keyed = kept.withColumn("key_hash", T.cache_key(F.col("text"), F.lit("English"), F.col("lang"), F.lit("m")))
     found = C.lookup(keyed, src.cache())
     hit = F.count("translation")
@@ -64,12 +65,12 @@ def cache_first_write_wins(src: Source) -> DataFrame:
     return C.first_write_wins(batch, have, "conv_id", "turn")
 
 
-_MODELS = "CASE length(text) % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'm::ctx' WHEN 2 THEN 'm_other' ELSE 'n' END"
+_MODELS = "CASE length(text) % 5 WHEN 0 THEN 'M_' WHEN 1 THEN 'mx::ctx' WHEN 2 THEN 'm_other' WHEN 3 THEN 'm_::v' ELSE 'n' END"
 
 
-@query(f"SELECT key_hash, model FROM (SELECT key_hash, {_MODELS} AS model FROM cache_v) c WHERE NOT (lower(model) = 'm' OR starts_with(lower(model), 'm::'))", "cache_v")
+@query(f"SELECT key_hash, model FROM (SELECT key_hash, {_MODELS} AS model FROM cache_v) c WHERE NOT (lower(model) = 'm_' OR lower(model) LIKE 'm_::%')", "cache_v")
 def cache_clear_model(src: Source) -> DataFrame:
-    return C.clear_model(src.cache().select("key_hash", F.expr(_MODELS).alias("model")), "m")
+    return C.clear_model(src.cache().select("key_hash", F.expr(_MODELS).alias("model")), "m_")
 
 
 @query("SELECT key_hash, translation FROM cache_v WHERE NOT regexp_matches(coalesce(translation, ''), '^[\\s\\p{Z}]*$')", "cache_v")
@@ -128,7 +129,7 @@ def file_sample_prefix(src: Source) -> DataFrame:
     "segments_v",
 )
 def greedy_batches(src: Source) -> DataFrame:
-    return S.greedy_batches(src.segments(), "doc_id", "seq", F.length("text"), 2000)
+    return folds.greedy_batches(src.segments(), "doc_id", "seq", F.length("text"), 2000)
 
 
 @query("SELECT doc_id, seq, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / 2.5) AS BIGINT)) END AS tokens FROM segments_v", "segments_v")
@@ -145,16 +146,10 @@ def composition_counts(src: Source) -> DataFrame:
 @query(
     f"""SELECT doc_id, seq, CAST(length(n) AS BIGINT) AS source_chars, e AS expected, length(n) >= 15 AND e > 0 AND length(value) < 0.3 * e AS is_short FROM (
     SELECT doc_id, seq, substr(value, 1, 1 + CAST(seq % 3 AS BIGINT) * 40) AS value, n, round(length(regexp_replace(n, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) * 3.51::DOUBLE + (length(regexp_replace(n, '[^\\p{{L}}]', '', 'g')) - length(regexp_replace(n, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g'))) * 0.75::DOUBLE, 6) AS e
-    FROM (SELECT *, {NORM.format("text")} AS n FROM tmap_v WHERE doc_id % 2 = 0) a) b""",
+    FROM (SELECT *, {NORM.format("text")} AS n FROM tmap_v) a) b""",
     "tmap_v",
 )
 def length_guard(src: Source) -> DataFrame:
-    return _guard(src.tmap().where("doc_id % 2 = 0"))
-
-
-@query()
-def length_guard_all(src: Source) -> DataFrame:
-    """All documents, of which the SQL of ``length_guard`` reads every second one."""
     return _guard(src.tmap())
 
 
@@ -198,12 +193,12 @@ def refusal_scan(src: Source) -> DataFrame:
       WHEN 4 THEN 'Password' WHEN 5 THEN p_size || 'V' WHEN 6 THEN '5S' ELSE p_name END AS term FROM part)
     SELECT CAST(p_partkey AS BIGINT) AS p_partkey, term, regexp_matches(term, '^[\d.,±~～<>≤≥]{2,}\s*[a-zA-Zμµ°Φ/%²³]*$') OR regexp_matches(term, '^[\d.,±~～<>≤≥]+\s*[a-zA-Zμµ°Φ/%²³]{2,}$')
       OR regexp_matches(term, '(?i)^\d+[\d.,]*\s*(mm|cm|um|μm|µm|kg|g|V|A|Hz|HZ|℃|°C|MPa|ppm)\b') OR regexp_matches(term, '^\d+[~～]\d+\s*\w+') OR regexp_matches(term, '^\d.*[VvAa]\s*$') OR regexp_matches(term, '^\d+Φ')
-      OR regexp_matches(term, '^[A-D]\d$') OR regexp_matches(term, '(?i)^[A-Z]{1,3}-[A-Z]{1,4}\d{2,}') OR regexp_matches(term, '(?i)^(username|usename|password|panjit)$') OR regexp_matches(term, '^.?$') OR regexp_matches(term, '(?i)^Profiling\s') AS noise FROM t"""
+      OR regexp_matches(term, '^[A-D]\d$') OR regexp_matches(term, '(?i)^[A-Z]{1,3}-[A-Z]{1,4}\d{2,}') OR regexp_matches(term, '(?i)^(username|usename|password|acme)$') OR regexp_matches(term, '^.?$') OR regexp_matches(term, '(?i)^Profiling\s') AS noise FROM t"""
 )
 def term_noise_filter(src: Source) -> DataFrame:
     term = F.expr("""CASE p_partkey % 8 WHEN 0 THEN p_size || '~' || p_partkey || 'kg/cm2' WHEN 1 THEN p_size || '.5mm x' WHEN 2 THEN 'B' || (p_size % 10) WHEN 3 THEN 'QC-OC' || (100 + p_size)
       WHEN 4 THEN 'Password' WHEN 5 THEN p_size || 'V' WHEN 6 THEN '5S' ELSE p_name END""")
-    return src.table("part").select(F.col("p_partkey").cast("long").alias("p_partkey"), term.alias("term")).withColumn("noise", T.is_noise_term(F.col("term")))
+    return src.table("part").select(F.col("p_partkey").cast("long").alias("p_partkey"), term.alias("term")).withColumn("noise", T.is_noise_term(F.col("term"), ["Acme"]))
 
 
 @query()

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the session's folder; one of our own only where none is set."""
+    """``df`` with its lineage cut by a checkpoint in the session's folder. Only a local session without one gets its own."""
     sc = df.sparkSession.sparkContext
     if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textweir-"))
     return df.checkpoint()
 

@@ -44,6 +44,9 @@ class Source:
             pick(["approved", "unverified", "needs_review", "rejected"], "p_partkey").alias("status"),
         )
 
+    def all_terms(self) -> DataFrame:
+        return self._terms()
+
     def terms(self) -> DataFrame:
         """One row per (source_text, target_lang, domain), that of the least id."""
         t = self._terms()
@@ -85,6 +88,33 @@ class Source:
             (k % 13 != 0).alias("should_translate"),
         )
 
+    def spans(self) -> DataFrame:
+        """A customer's orders as the text spans of a document, two a line."""
+        from pyspark.sql import Window as W
+
+        k = F.col("o_orderkey").cast("long")
+        o = self.table("orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+        n = F.col("n")
+        line = F.floor((n - 1) / 2).cast("long")
+        x0, y0 = (k % 400).cast("double"), ((k * 7 + n * 31) % 780).cast("double")
+        return o.select(
+            F.col("o_custkey").cast("long").alias("doc_id"),
+            (F.floor((n - 1) / 6) + 1).cast("long").alias("page"),
+            (F.col("o_custkey") % 2 * line).cast("long").alias("block"),
+            line.alias("line"),
+            ((n - 1) % 2).alias("span"),
+            k.alias("span_id"),
+            F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "o_orderpriority")).alias("text"),
+            F.col("o_orderstatus").alias("font"),
+            (n + 6).cast("double").alias("size"),
+            (k % 32).alias("flags"),
+            (k * 997 % 16_777_216).alias("color"),
+            x0.alias("x0"),
+            y0.alias("y0"),
+            (x0 + 30 + n).alias("x1"),
+            (y0 + 10).alias("y1"),
+        )
+
     def rendered(self) -> DataFrame:
         k = F.col("element_id")
         return self.boxes().withColumns({"x0": F.col("x0") + k % 5, "x1": F.col("x1") + k % 5, "y0": F.col("y0") + k % 7, "y1": F.col("y1") + k % 7})
@@ -116,6 +146,10 @@ DUCK = {
   CAST((o_orderkey * 37) % 500 AS DOUBLE) AS x0, CAST((o_orderkey * 61) % 700 AS DOUBLE) AS y0,
   CAST((o_orderkey * 37) % 500 + 20 + (o_orderkey * 13) % 150 AS DOUBLE) AS x1, CAST((o_orderkey * 61) % 700 + 8 + (o_orderkey * 7) % 40 AS DOUBLE) AS y1,
   o_orderkey % 11 = 0 AS truncated, o_orderkey % 13 <> 0 AS should_translate FROM orders""",
+    "spans_v": r"""SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST((n - 1) // 6 + 1 AS BIGINT) AS page, CAST(o_custkey % 2 * ((n - 1) // 2) AS BIGINT) AS block,
+  CAST((n - 1) // 2 AS BIGINT) AS line, CAST((n - 1) % 2 AS BIGINT) AS span, CAST(k AS BIGINT) AS span_id, CASE WHEN n % 5 = 0 THEN '  ' ELSE concat(' ', o_orderpriority) END AS text, o_orderstatus AS font,
+  CAST(n + 6 AS DOUBLE) AS size, CAST(k % 32 AS BIGINT) AS flags, k * 997 % 16777216 AS color, CAST(k % 400 AS DOUBLE) AS x0, CAST((k * 7 + n * 31) % 780 AS DOUBLE) AS y0,
+  CAST(k % 400 + 30 + n AS DOUBLE) AS x1, CAST((k * 7 + n * 31) % 780 + 10 AS DOUBLE) AS y1 FROM (SELECT *, CAST(o_orderkey AS BIGINT) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o""",
     "rendered_v": r"""SELECT element_id, doc_id, page, x0 + element_id % 5 AS x0, y0 + element_id % 7 AS y0, x1 + element_id % 5 AS x1, y1 + element_id % 7 AS y1, truncated, should_translate FROM boxes_v""",
     "regions_v": r"""SELECT * FROM (SELECT DISTINCT doc_id, page FROM boxes_v) p, (VALUES (0, 0.0, 200.0, 'header', 0.3), (1, 200.0, 400.0, 'text', 0.5), (2, 400.0, 700.0, 'table', 0.9)) AS b(region, ry0, ry1, label, confidence)""",
 }

@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,15 +75,39 @@ def progress(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return lines.groupBy("job_id").applyInPandasWithState(run, OUT, "files long, base long, done long, total long, own long", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
+def replies(tokens: DataFrame) -> DataFrame:
+    """call_id, text of token streams (call_id, seq, token, done): tokens in order up to the first that says it is the last; complete mode or a batch."""
+    got = tokens.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("token", F.lit("")).alias("token")))).alias("t"), F.min(F.when(F.col("done"), F.col("seq"))).alias("end"))
+    kept = F.filter("t", lambda x: F.col("end").isNull() | (x["seq"] <= F.col("end")))
+    return got.select("call_id", F.btrim(F.array_join(F.transform(kept, lambda x: x["token"]), "")).alias("text"), F.col("end").isNotNull().alias("done"))
+
+
+def run_until(query, stopped, poll: float = 0.2) -> bool:
+    """Let a streaming query work until it ends or ``stopped()``; it is then ended between units, what it wrote stays. Whether it was stopped."""
+    while query.isActive:
+        if stopped():
+            query.stop()
+            return True
+        query.awaitTermination(poll)
+    return False
+
+
 def flush_to_cache(path: str, *order: str):
-    """A ``foreachBatch`` function that appends what the cache at ``path`` doesn't hold yet; a repeated batch adds nothing."""
+    """A ``foreachBatch`` function that appends what the cache at ``path`` doesn't hold yet; a repeated batch adds nothing.
+
+    The cache is partitioned by the first two digits of its keys, and a batch
+    reads only the partitions of its own keys.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(path).select("key_hash")
-        except AnalysisException:  # the first batch finds no table
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        keyed = batch.withColumn("shard", F.left("key_hash", F.lit(2)))
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            shards = [r.shard for r in keyed.select("shard").distinct().collect()]  # 256 at most
+            have = spark.read.schema(keyed.schema).parquet(path).where(F.col("shard").isin(shards)).select("key_hash")
+        else:
             have = spark.createDataFrame([], "key_hash string")
-        first_write_wins(batch, have, *order).write.mode("append").parquet(path)
+        first_write_wins(keyed, have, *order).write.mode("append").partitionBy("shard").parquet(path)
 
     return write
