@@ -52,6 +52,43 @@ def test_decontamination(docs, texts, benchmark, block, monkeypatch):
     assert got == Counter(plain_judgement([(i, t) for i, t, _ in texts], items))
 
 
+def test_longest_matches_are_those_of_a_plain_search():
+    rnd = random.Random(21)
+    for round_ in range(60):
+        letters = "ab" if round_ % 2 else "abcdef"
+        line = lambda n: [rnd.choice(letters) for _ in range(n)]
+        items = [(i, line(rnd.randint(0, 40))) for i in range(rnd.randint(1, 6))]
+        texts = [line(rnd.randint(0, 60)) for _ in range(rnd.randint(1, 5))]
+        if items[0][1]:
+            texts.append(["z", *items[0][1], "z", *items[-1][1], *items[0][1][:7]])
+        block = decontamination.Block([(i, [w.encode() for w in ws]) for i, ws in items], 4)
+        sizes, hits = decontamination.shard_hits([" ".join(t) for t in texts], block)
+        for t, (_, _, found) in zip(texts, hits):
+            long = {}
+            for a in range(len(t)):
+                for _, ws in items:
+                    for b in range(len(ws)):
+                        n = 0
+                        while a + n < len(t) and b + n < len(ws) and t[a + n] == ws[b + n]:
+                            n += 1
+                        if n >= min(4, len(ws)):
+                            long[a] = max(long.get(a, 0), n)
+            assert max((n for _, n, _ in found), default=0) == max(long.values(), default=0)
+            for a, n, item in found:
+                whole = [ws for i, ws in items if i == item]
+                assert any(ws[b : b + n] == t[a : a + n] for ws in whole for b in range(len(ws)))
+                assert n <= long[a]
+            for a, n in long.items():  # every longest match is kept, or is the rest of one that is
+                assert any(x <= a and x + m >= a + n for x, m, _ in found)
+
+
+def test_decontamination_by_a_table_with_clashing_columns(spark, docs, benchmark):
+    _, table = benchmark
+    odd = table.withColumn("doc_id", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("_text", F.lit(None).cast("string"))
+    same = lambda b: sorted(map(str, decontamination.judge(docs, b).collect()))
+    assert same(odd) == same(table)
+
+
 def test_decontamination_filter(docs, no_docs, benchmark):
     _, table = benchmark
     kept = decontamination.decontaminate(docs, table)
@@ -101,6 +138,19 @@ def test_chats_round_trip(spark):
     assert chat_format.format_turn("user", "plain")[0] == "### user: plain</turn>\n"
 
 
+def test_tied_turns_follow_by_their_text(spark):
+    rows = [(1, 0, "user", t) for t in ("Z", "###", "a", "a b", "a</turn>", "\\", "", None)]
+    df = spark.createDataFrame(rows + [(1, 0, None, "###"), (1, 0, None, "Z")], "conv_id long, turn long, role string, text string")
+    want = sorted((r or "", t or "") for _, _, r, t in [*rows, (1, 0, None, "###"), (1, 0, None, "Z")])
+    got = chat_format.digests(chat_format.format_chats(df.repartition(3))).collect()
+    assert [r.turns_sha256 for r in got] == [hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()]
+
+
+def test_a_very_long_turn(spark):
+    text = "### x </turn> \\ " * 50_000
+    assert chat_format.parse(chat_format.format_turn("user", text)[0])[0][:2] == ("user", text)
+
+
 def test_chat_digests(spark):
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant"] * 8, CHATS))] + [(3, None, None, None), (3, 0, "assistant", "b"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a")]
     rows += [(9, k, "user", f"t{k}") for k in range(12_000)]

@@ -13,8 +13,9 @@ held as one value.
 
 Defined cases: a null role or text counts as empty; turns with the same number
 follow by role, then text, and repeated rows are kept; a null turn number comes
-first; a null conv_id is one conversation; an empty table gives no rows;
-further columns are ignored.
+first; a null conv_id is one conversation; a turn of any length is formatted and
+parsed alone, in about ten times its size; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +146,10 @@ def digests(chats: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    dealt = chats.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    dealt = chats.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id")
+    # Ties by the text itself: the turn without its close, unescaped; for equal roles what stands before it is equal.
+    text = F.regexp_replace(F.expr(f"left(formatted, length(formatted) - {len(CLOSE)})"), r"(?s)\\(.)", "$1")
+    dealt = dealt.sortWithinPartitions("conv_id", "turn", "role", text)
     return dealt.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -153,3 +157,18 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, ASSISTANT, probe)], "conv_id long, turn long, role string, text string")
     return digests(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+# The level of a turn's escapes: none; one before each control string and backslash; one before each character that any holds.
+# The second fails where a run of hashes is longer than three and no multiple of three.
+_LEVEL = r"""CASE WHEN NOT (contains(role, ': ') OR contains(text, '###') OR contains(text, '</turn>') OR contains(text, '\') OR contains(role, '###') OR contains(role, '</turn>') OR contains(role, '\')) THEN 0
+  WHEN contains(role, ': ') OR regexp_matches(role || ': ' || text, '(^|[^#])(###)+#{1,2}([^#]|$)') THEN 2 ELSE 1 END"""
+ORACLE_SQL = rf"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, '{ASSISTANT}')) AS v(t, r)),
+l AS (SELECT *, {_LEVEL} AS level FROM c),
+f AS (SELECT *, length(role) + length(text) + {len(OPEN + MID + CLOSE)} + CASE level WHEN 0 THEN 0 WHEN 1 THEN len(regexp_extract_all(role || chr(0) || text, '\\|###|</turn>')) ELSE len(regexp_extract_all(role || text, '[\\#<:]')) END AS size FROM l)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{ASSISTANT}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = '{ASSISTANT}'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

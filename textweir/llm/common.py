@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only in a local session where it is unset."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="textweir-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -140,6 +142,17 @@ def text_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]
         yield run
 
 
+def word_runs(raw: bytes, size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """The words of ``raw``, which white space parts, in runs of about ``size`` bytes, so that no long text is ever all Python objects."""
+    a = 0
+    while a < len(raw):
+        b = a + size
+        while b < len(raw) and raw[b] not in b" \t\n\v\f\r":
+            b += 1
+        yield raw[a:b].split()
+        a = b
+
+
 def map_text(docs: DataFrame, keep: list[str], added: str, compute: Callable[[list[str]], list], chars: int = 1_000_000) -> DataFrame:
     """The columns ``keep`` of ``docs`` and those ``added`` (a schema), which ``compute`` gives for runs of whole texts, null as empty.
 
