@@ -57,7 +57,8 @@ def test_quality(spark, docs, texts, no_docs):
     junk = docs.where("doc_id = 3").withColumns({"doc_id": F.lit(900).cast("long"), "text": F.lit("@@#! $$$ " * 60)})
     all_ = docs.unionByName(junk)
     lab = labels(spark, texts)
-    assert 7 not in quality.trusted_ids(lab) and len(quality.trusted_ids(lab)) == 99
+    ids = [r.doc_id for r in quality.trusted(lab).collect()]
+    assert 7 not in ids and len(ids) == 99 and [r.doc_id for r in quality.bad(lab).collect()] == [403]
     got = {r.doc_id: r for r in quality.classify(all_, lab, ["doc_id", "lang"]).collect()}
     assert len(got) and not got[900]._accepted and not got[400]._accepted and not got[401]._accepted
     clean = [r for i, r in got.items() if i is not None and i < 120]
@@ -69,6 +70,90 @@ def test_quality(spark, docs, texts, no_docs):
     assert quality.filter_quality(docs, lab.limit(0)).where("text is not null and text <> ''").count() == docs.where("text is not null and text <> ''").count()
 
 
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney by its formula, on dictionaries and strings of bytes."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, {order: Counter()}
+        for t in texts:
+            t = b"\n" * (order - 1) + t
+            self.c[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+        for k in range(order - 1, 0, -1):
+            self.c[k] = Counter(g[1:] for g in self.c[k + 1])
+        self.d = {}
+        for k, c in self.c.items():
+            n = [sum(v == i for v in c.values()) for i in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+            self.d[k] = [0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        after = {g: v for g, v in self.c[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return self.p(gram[1:])
+        d, total = self.d[k], sum(after.values())
+        own = after.get(gram, 0)
+        return (own - d[min(own, 3)]) / total + sum(d[min(v, 3)] for v in after.values()) / total * self.p(gram[1:])
+
+    def nats(self, t):
+        t = b"\n" * (self.order - 1) + t
+        return [-math.log(self.p(t[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(t))]
+
+
+def test_scores_are_those_of_plain_kneser_ney():
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["ab", "abc", "cab", "é", "bb"]) for _ in range(12)).encode() for _ in range(10)]
+    worse = [t + b" zz zap" for t in texts[:4]]
+    models = []
+    for ts in (texts, worse):
+        models.append((PlainKneserNey(ts, 3), quality.KneserNey(*np.unique(quality.byte_grams([t.decode() for t in ts], 3)[0], return_counts=True), 3)))
+    probe = [b"ab abc", b"", b"zap q", b"x", "é cab\nbb zz".encode()]
+    nats, worst = quality.measure([b"\n\n" + t for t in probe], models[0][1], models[1][1], 3)
+    for t, a, b in zip(probe, nats, worst):
+        own, other = models[0][0].nats(t), models[1][0].nats(t)
+        assert abs(a - sum(own)) < 1e-3
+        words, at = [], 0
+        for i, c in enumerate(t):
+            if c in b" \n" and i:
+                words.append((at, i))
+                at = i
+        words.append((at, len(t)))
+        assert abs(b - max(sum(own[x:y]) - sum(other[x:y]) for x, y in words)) < 1e-3
+
+
+def test_long_texts_are_scored_in_slices():
+    rnd = random.Random(8)
+    text = " ".join(rnd.choice(["ab", "abc", "cab", "bb", "zz"]) for _ in range(3_000)).encode()
+    own, other = (quality.KneserNey(*np.unique(quality.byte_grams([t])[0], return_counts=True)) for t in ("ab abc cab bb " * 9, "ab zz bb " * 9))
+    whole = quality.measure([b"\n" * 4 + text], own, other)
+    parts = list(quality.slices(text, 500, 4))
+    assert b"".join(p[4:] for p in parts) == text and len(parts) > 10
+    got = [quality.measure([p], own, other) for p in parts]
+    assert abs(sum(n[0] for n, _ in got) - whole[0][0]) < 1e-6 and abs(max(w[0] for _, w in got) - whole[1][0]) < 1e-9
+
+
+def test_thresholds_are_plain_quantiles_and_few_insults_reject(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_DOCS", 150)
+    rnd = random.Random(14)
+    prose = lambda n: " ".join(rnd.choice("the quick brown fox jumps over lazy dogs while rain falls on old stone roads".split()) for _ in range(n))
+    rows = [(i, prose(rnd.randint(30, 60)), "en", 1, 0) for i in range(900)]
+    rows += [(1000 + i, prose(100) + " zounds thou knave " + prose(100), "en", 1, 1) for i in range(80)]
+    rows += [(2000 + i, prose(150) + " what a knave " + prose(150), "en", None, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int")
+    lab = df.where("quality is not null").select("doc_id", "quality", "toxic", F.lit("x").alias("lang"), F.lit("y").alias("text"))
+    got = {r.doc_id: r for r in quality.classify(df, lab, ["doc_id", "lang"]).collect()}
+    assert not any(got[i]._accepted for i in got if i >= 2000)
+    assert sum(got[i]._accepted for i in range(900)) > 885
+    ids = quality.training_ids(df.where("quality = 1 and toxic = 0"))
+    held = [got[i] for i in range(900) if i not in set(ids)]
+    median = np.quantile([round(math.log(r._perplexity), 4) for r in held], 0.5)
+    shrunk = [round((math.log(r._perplexity) * r._bytes + quality.PRIOR * median) / (r._bytes + quality.PRIOR), 4) for r in held]
+    assert abs(math.log(got[0]._threshold) - np.quantile(shrunk, quality.QUANTILE) - math.log(quality.MARGIN)) < 3e-4
+    assert abs(got[0]._worst_threshold - np.quantile([round(r._worst, 2) for r in held], quality.QUANTILE) - quality.WORD_MARGIN) < 0.02
+
+
 def test_quality_calibrates_rare_languages(spark, monkeypatch):
     """A language of a tenth of the trusted documents has enough of them, however few the model may be fitted on."""
     monkeypatch.setattr(quality, "FIT_DOCS", 100)

@@ -93,7 +93,7 @@ def test_components_of_long_chains_and_hubs(spark):
 
 
 def test_dedup_keeps_one_row_and_its_columns(docs):
-    kept = simhash.deduplicate(docs)
+    kept = simhash.deduplicate(docs, similarity=None)
     assert kept.columns == docs.columns
     found = simhash.group(docs, ["doc_id"])
     assert kept.count() == found.select("_component").distinct().count()

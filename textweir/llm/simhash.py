@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import map_text, masked, segments, stage, table
 from .components import components
 
@@ -192,11 +193,11 @@ def _meeting(fps: DataFrame, radius: int) -> DataFrame:
     return spread.join(least, "at").where("_fp <> u").select("u", F.col("_fp").alias("v"))
 
 
-def group(docs: DataFrame, keep: list[str], radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """The columns ``keep`` (with doc_id), _fp and _component, the least doc_id reachable."""
-    prints = stage(fingerprint(docs, keep, k), "fingerprints")
+def _labelled(prints: DataFrame, keep: list[str], radius: int, more: DataFrame | None = None) -> DataFrame:
+    """The columns ``keep`` of stored rows (doc_id, _fp), _fp and _component; ``more`` has further links of fingerprints (u, v)."""
     distinct = stage(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")), "distinct")
-    found = components(near_links(distinct, radius))
+    links = near_links(distinct, radius)
+    found = components(links if more is None else links.unionByName(more))
     # Only fingerprints with several documents or with links need an answer from elsewhere.
     labelled = distinct.join(found.withColumnRenamed("node", "_fp"), "_fp", "left")
     least = labelled.where("component is not null").groupBy("component").agg(F.min("_least").alias("_c"))
@@ -204,17 +205,38 @@ def group(docs: DataFrame, keep: list[str], radius: int = RADIUS, k: int = SHING
     return prints.join(shared, "_fp", "left").select(*keep, "_fp", F.coalesce("_c", "doc_id").alias("_component"))
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+def group(docs: DataFrame, keep: list[str], radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+    """The columns ``keep`` (with doc_id), _fp and _component, the least doc_id reachable."""
+    return _labelled(stage(fingerprint(docs, keep, k), "fingerprints"), keep, radius)
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, similarity: float | None = near_copies.SIMILARITY) -> DataFrame:
     """One document of each component stays, that with the least id, with its own columns; of its repeated rows the first.
 
-    ``docs`` is read twice and rows are told apart by their place, so it has to
-    be a stored table or another plan that gives its rows again in place.
+    Links are those of fingerprints, and near copies by shingles of five words
+    (``near_copies``; none if ``similarity`` is None), whose equal fingerprints
+    carry them. Rows are stored once, with a number each, and found by it again.
     """
     apart, names, back = masked(docs, "doc_id", "text")
-    placed = apart.withColumn("_place", F.monotonically_increasing_id())
-    grouped = group(placed, ["doc_id", "_place"], radius, k)
-    kept = grouped.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_place")).alias("first")).select(F.col("first._place").alias("_place"))
-    return back(placed.join(kept, "_place", "left_semi"))
+
+    def compute(texts: list[str]) -> list:
+        return [fingerprints_of(texts, k).view(np.int64), *near_copies.sketch(texts)]
+
+    placed = map_text(apart.withColumn("_place", F.monotonically_increasing_id()), [*names, "doc_id", "_place"], f"_fp long, {near_copies.SKETCH}", compute)
+    rows = stage(placed, "sketched")
+    text = F.col(names[docs.columns.index("text")]).alias("text")
+    more = None
+    if similarity is not None:
+        fps = rows.select("_place", "_fp")
+        found = near_copies.links(rows.select("_place", text, "_same", "_keys"), similarity)
+        more = found.join(fps.select(F.col("_place").alias("u"), F.col("_fp").alias("a")), "u").join(fps.select(F.col("_place").alias("v"), F.col("_fp").alias("b")), "v")
+        more = more.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    grouped = _labelled(rows.select("doc_id", "_place", "_fp"), ["doc_id", "_place"], radius, more)
+    first = grouped.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_place")).alias("first"), F.count("*").alias("n"))
+    several = first.where("n > 1").select(F.col("_component").alias("_c"), F.col("first._place").alias("_first"))
+    met = grouped.select("_component", "_place").join(several, F.col("_component").eqNullSafe(F.col("_c")))
+    dropped = stage(met.where("_place <> _first").select("_place"), "dropped")
+    return back(near_copies.only(rows, dropped, "left_anti"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
