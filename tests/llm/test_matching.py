@@ -209,5 +209,24 @@ def test_anisotropic_codes_lose_less_along():
     coder = ann.Quantiser(x, rng)
     flat = ann.Quantiser(x, np.random.default_rng(3), 0)
     flat.eta = 1.0
-    along = lambda c: np.abs(((x - np.take_along_axis(c.books[None], c.encode(x)[:, :, None, None].astype(int), 2).reshape(len(x), -1)[:, :16]) * x).sum(1)).mean()
+    along = lambda c: np.abs(((x - np.take_along_axis(c.books[None], c._assign(c._padded(x))[:, :, None, None], 2).reshape(len(x), -1)[:, :16]) * x).sum(1)).mean()
     assert along(coder) < along(flat)
+
+
+@pytest.mark.parametrize("dim", [5, 8, 16])
+def test_two_codes_a_byte_add_up_to_the_inner_product(dim):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(300, dim)), rng.normal(size=(7, dim))
+    coder = ann.Quantiser(x, rng)
+    decoded = coder.books[np.arange(coder.width), coder._assign(coder._padded(x))].reshape(len(x), -1)[:, :dim]
+    codes, tables = coder.encode(x), coder.tables(q)
+    assert codes.dtype == np.uint8 and codes.shape[1] == -(-coder.width // 2)
+    near = sum(tables[:, m, :][:, codes[:, m]] for m in range(codes.shape[1]))
+    assert np.abs(near - q @ decoded.T).max() < 1e-4
+
+
+def test_repeated_queries_and_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cell": F.lit("x"), "v": F.lit(1), "ids": F.lit(None).cast("string")})
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") % 2 == 0, 3).collect())
+    assert got == sorted([(0, 1, 1), (0, 2, 2)] * 2 + [(2, 1, 1), (2, 2, 0)])

@@ -4,10 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from textweir.llm import language_id, lm_scoring, quality
-from textweir.llm.common import fold
 
 
 def test_language_id(docs, texts):
@@ -21,17 +21,53 @@ def test_language_id(docs, texts):
     assert held and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
 
 
-def test_language_id_matches_plain_bayes(docs, texts):
-    names, matrix = language_id.learn(docs.where(fold(F.col("doc_id"), 3) != 1))
-    total = {n: 0 for n in names}
-    for i, t, g in texts:
-        import zlib
+def plain_grams(text):
+    """Buckets of all n-grams of one text, one by one."""
+    c = [ord(x) if x.isalpha() else 32 for x in (y.lower()[0] for y in f" {text} ")]
+    out = []
+    for n in language_id.ORDERS:
+        for i in range(len(c) - n + 1):
+            if any(x != 32 for x in c[i : i + n]):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h * 0x100000001B3 + x) % (1 << 64)
+                out.append((h * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48)
+    return out
 
-        if g and t is not None and zlib.crc32(str("" if i is None else i).encode()) % 3 != 1:
-            total[g] += sum(len(h) for h in language_id.ngrams([t])[0])
-    for k, n in enumerate(names):
-        counts = np.exp(matrix[:-1, k]) * (total[n] + language_id.ALPHA * language_id.BUCKETS) - language_id.ALPHA
-        assert abs(counts.sum() - total[n]) < 1e-3 * max(1, total[n])
+
+@pytest.mark.parametrize(("shard", "piece"), [(64, 200_000), (1, 200_000), (2, 7)])
+def test_language_id_is_plain_bayes(spark, docs, texts, shard, piece, monkeypatch):
+    """Predictions and scores of every row, whatever the pieces and however many languages a matrix holds."""
+    import zlib
+
+    monkeypatch.setattr(language_id, "SHARD_LANGS", shard)
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rows = [(i, t, g) for i, t, g in texts if len(t or "") < 1_000 or piece > 7] + [(700 + i, "ab cab dab " * 3, "xx") for i in range(9)] + [(800, "İstanbul ΣΑΣ", "de")]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 3 == 1
+    counts, n = {}, Counter()
+    for i, t, g in rows:
+        if g and t is not None and not held(i):
+            counts.setdefault(g, Counter()).update(plain_grams(t))
+            n[g] += 1
+    want = Counter()
+    for i, t, _ in rows:
+        total = {g: math.log(n[g] + 1) for g in counts}
+        grams = Counter(plain_grams(t or ""))
+        for g, c in counts.items():
+            size = sum(c.values()) + language_id.ALPHA * language_id.BUCKETS
+            total[g] += sum(k * math.log((c[b] + language_id.ALPHA) / size) for b, k in grams.items())
+        best = min(total, key=lambda g: (-total[g], g))
+        fine = any(x.isalpha() for x in t or "")
+        want[i, held(i), best if fine else "und", round(1 / sum(math.exp(v - total[best]) for v in total.values()), 5) if fine else 0.0] += 1
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert Counter((r.doc_id, r.held_out and r.doc_id is not None or held(r.doc_id), r.lang_pred, round(r.score, 5)) for r in got.collect()) == want
+
+
+def test_language_filter_drops_false_claims(spark):
+    rows = [(i, "the rain falls on the old stone road near the town", "en") for i in range(30)] + [(100 + i, "der regen fällt auf die alte straße in der stadt", "de") for i in range(30)]
+    rows += [(200, "der regen fällt auf die straße", "en"), (201, "the rain falls", None), (301, "the rain falls", "tlh"), (203, "12 34", "en")]  # tlh is held out, so not learned
+    kept = {r.doc_id for r in language_id.filter_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {i for i, *_ in rows} - {200, 203}
 
 
 def test_language_filter_keeps_columns(docs, no_docs):
@@ -169,20 +205,21 @@ def test_quality_calibrates_rare_languages(spark, monkeypatch):
         assert sum(r["_accepted"] for r in got if r.lang == g) >= 0.97 * sum(r.lang == g for r in got)
 
 
-def test_context_tree_matches_recursion():
+@pytest.mark.parametrize(("depth", "shared"), [(2, 1), (2, 2), (3, 2)])
+def test_context_tree_matches_recursion(depth, shared):
     """The weighed tables against context-tree weighting by plain recursion."""
     data = [b"abab cab\n", b"abba\n", b"bab\n"]
-    train, depth = data[:2], 2
+    train = data[:2]
     codes = np.unique(lm_scoring.grams(data, depth)[0])
     seen = Counter(lm_scoring.grams(train, depth)[0].tolist())
     inner = np.empty((len(codes), 8), np.float32)
     roots = []
-    first = (codes >> np.uint64(8)) & np.uint64(255)
-    for f in np.unique(first):
-        mine = first == f
-        inner[mine], root = lm_scoring.weigh(codes[mine], np.array([seen[int(c)] for c in codes[mine]], float), depth)
-        roots.append(root)
-    got = lm_scoring.log10_bytes(codes, inner, *lm_scoring.root_mixture(pd.concat(roots).groupby("node", as_index=False).sum()))
+    near = (codes >> np.uint64(8)) & np.uint64(256**shared - 1)
+    for f in np.unique(near):
+        mine = near == f
+        inner[mine], root = lm_scoring.weigh(codes[mine], np.array([seen[int(c)] for c in codes[mine]], float), depth, shared)
+        roots.append(root.assign(context=int(f) & (256 ** (shared - 1) - 1)))
+    got = lm_scoring.log10_bytes(codes, inner, lm_scoring.upper(pd.concat(roots), shared))
 
     def counts(node, suffix):
         n = [0, 0]
@@ -218,6 +255,64 @@ def test_context_tree_matches_recursion():
         assert abs(lp - want) < 1e-4
 
 
+def plain_tree_scores(train, texts, depth):
+    """log10 probabilities by context-tree weighting over all depths, on dictionaries."""
+    seen = Counter()
+    children = {}
+    for t in train:
+        t = b"\n" * depth + t
+        for i in range(depth, len(t)):
+            for level in range(8):
+                node, bit = (1 << level) | (t[i] >> (8 - level)), t[i] >> (7 - level) & 1
+                for d in range(depth + 1):
+                    context = t[i - d : i][::-1]
+                    seen[node, context, bit] += 1
+                    if d:
+                        children.setdefault((node, context[:-1]), set()).add(context)
+
+    def log_kt(node, context):
+        a, b = seen[node, context, 0], seen[node, context, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def log_weighted(node, context):
+        own = log_kt(node, context)
+        if len(context) == depth:
+            return own
+        below = sum(log_weighted(node, c) for c in children.get((node, context), ()))
+        return float(np.logaddexp(own, below)) - math.log(2)
+
+    def p_one(node, past, d=0):
+        context = past[:d]
+        a, b = seen[node, context, 0], seen[node, context, 1]
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth or not seen[node, past[: d + 1], 0] + seen[node, past[: d + 1], 1]:
+            return own
+        w = math.exp(log_kt(node, context) - math.log(2) - log_weighted(node, context))
+        return w * own + (1 - w) * p_one(node, past, d + 1)
+
+    out = []
+    for t in texts:
+        t, total = b"\n" * depth + t, 0.0
+        for i in range(depth, len(t)):
+            for level in range(8):
+                p = p_one((1 << level) | (t[i] >> (8 - level)), t[i - depth : i][::-1])
+                total += math.log10(p if t[i] >> (7 - level) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_document_scores_are_those_of_plain_trees(spark):
+    import zlib
+
+    texts = ["Ab ab  cab", "abba cab ab", "", None, "bab\tzz é", "cab cab cab ab", "q", "ab", "abba", "zz top"]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    flat = [b" ".join(lm_scoring.tokens(t)) + b"\n" for t in texts]
+    train = [t for i, t in enumerate(flat) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(flat)
+    for i, want in enumerate(plain_tree_scores(train, flat, lm_scoring.DEPTH)):
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want)), i
+
+
 def test_scores(docs, texts, no_docs):
     import zlib
 

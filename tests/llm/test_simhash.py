@@ -92,6 +92,17 @@ def test_components_of_long_chains_and_hubs(spark):
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1200)}}
 
 
+def test_a_long_text_has_the_fingerprint_of_its_pieces(monkeypatch):
+    from textweir.llm import common
+
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["ab", "Abc", "\t cab", "é", "bb"]) for _ in range(n)) for n in (0, 1, 2, 3, 900, 5_000)]
+    want = simhash.fingerprints_of(texts).tolist()
+    monkeypatch.setattr(simhash, "LONG", -1)
+    monkeypatch.setattr(simhash, "word_runs", lambda raw: common.word_runs(raw, 100))
+    assert simhash.fingerprints_of(texts).tolist() == want
+
+
 def test_dedup_keeps_one_row_and_its_columns(docs):
     kept = simhash.deduplicate(docs, similarity=None)
     assert kept.columns == docs.columns

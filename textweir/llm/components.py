@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -37,7 +37,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(links.select("u", "v").where("u <> v"), "links")
     state = _state(edges)
     while state[0]:
-        edges = stage(_small_star(stage(_large_star(edges), "stars")), "stars")
+        stars = stage(_large_star(edges), "stars")
+        after = stage(_small_star(stars), "stars")
+        unstage(stars)
+        unstage(edges)
+        edges = after
         now = _state(edges)
         if now == state:
             break

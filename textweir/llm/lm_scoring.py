@@ -12,16 +12,17 @@ probabilities, its code length that number in bits.
 A byte's probability depends on itself and ``DEPTH`` bytes, so only distinct
 n-grams are gathered: a task writes the distinct n-grams and tokens of each run
 of documents it reads (a block) and the block's documents, compressed. Counts
-are summed over the corpus; the trees of each first context byte are weighed in
-one group, whose size is that of its distinct n-grams, and met at the root
-through 255 sums. Where the table of all n-grams passes the checked size it is
+are summed over the corpus; the trees below each two nearest context bytes are
+weighed in one group, whose size is that of its distinct n-grams, at most a few
+hundredths of all; the two depths above them are met through 65,280 sums. Where the table of all n-grams passes the checked size it is
 broadcast, else each block gets its own n-grams' part of it by a join; the word
 counts of the base score always come that way.
 
 Defined cases: a null or empty text is the end alone; rows with equal ids are
 scored each; a null id counts as the empty text for the fold; without training
 text every decision is even and the base score that of unknown tokens (N = 0,
-V = 0); an empty table gives no rows; further columns are ignored.
+V = 0); a long text takes about 100 bytes a byte while it is read and scored; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import HashLookup, fold, segment_sum, segments, stage, table, unstage
 
 DEPTH = 5
+#: Context bytes that the n-grams weighed in one group share; the trees above them are summed by node.
+SHARED = 2
 #: Bytes of text in a block, and n-grams that are broadcast at most (12 bytes each).
 BLOCK_BYTES, MAX_BROADCAST = 32_000_000, 4_000_000
 #: Bytes of text scored at once.
@@ -155,8 +158,8 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - np.log(np.pi) - _log_gamma(n0 + n1 + 1.0)
 
 
-def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, pd.DataFrame]:
-    """For n-grams with one first context byte: P(1) of each of the eight decisions at depth 1 (nan where never visited), and the root's share of each node."""
+def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shared: int = SHARED) -> tuple[np.ndarray, pd.DataFrame]:
+    """For n-grams whose ``shared`` nearest context bytes are equal: P(1) of each of the eight decisions at that depth (nan where never visited), and each node's counts and mixture there."""
     out = np.empty((len(codes), 8), np.float32)
     roots = []
     byte = codes & np.uint64(255)
@@ -170,7 +173,7 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np
         n0 = np.bincount(leaf, counts * ~one, len(unique))
         chain = []  # by depth from the leaves: P(1), weight, visited, place of the leaves' nodes
         place, weighted = np.arange(len(unique)), None
-        for d in range(depth, 0, -1):
+        for d in range(depth, shared - 1, -1):
             own = log_kt(n0, n1)
             if weighted is None:
                 mixed, weight = own, np.ones(len(unique))
@@ -178,7 +181,7 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np
                 mixed = np.logaddexp(own, weighted) - np.log(2)
                 weight = np.exp(own - np.log(2) - mixed)
             chain.append(((n1 + 0.5) / (n0 + n1 + 1), weight, n0 + n1 > 0, place))
-            if d == 1:
+            if d == shared:
                 roots.append(pd.DataFrame({"node": (unique & np.uint64(255)).astype(np.int64), "n0": n0, "n1": n1, "mixed": mixed}))
                 break
             mask = np.uint64(((1 << 8 * (d - 1)) - 1) << 8 | 255)
@@ -194,23 +197,32 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> tuple[np
     return out, root
 
 
-def root_mixture(root: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """P(1) and weight of the root's own estimate, by node."""
-    n0, n1, mixed = np.zeros(256), np.zeros(256), np.zeros(256)
-    for r in root.itertuples():
-        n0[int(r.node)], n1[int(r.node)], mixed[int(r.node)] = r.n0, r.n1, r.mixed
-    own = log_kt(n0, n1)
-    return (n1 + 0.5) / (n0 + n1 + 1), np.exp(own - np.logaddexp(own, mixed))
+def upper(nodes: pd.DataFrame, shared: int = SHARED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """P(1) and weight of each node at the depths ``shared`` - 1 to 0, from the sums over its children (context, node, n0, n1, mixed); nan where never visited, but at the root."""
+    size = 256**shared
+    key = nodes["context"].to_numpy(np.int64) * 256 + nodes["node"].to_numpy(np.int64)
+    n0, n1, below = (np.bincount(key, nodes[c].to_numpy(np.float64), size) for c in ("n0", "n1", "mixed"))
+    out = []
+    for d in range(shared - 1, -1, -1):
+        own = log_kt(n0, n1)
+        mixed = np.logaddexp(own, below) - np.log(2)
+        out.append((np.where((n0 + n1 > 0) | (d == 0), (n1 + 0.5) / (n0 + n1 + 1), np.nan), np.exp(own - np.log(2) - mixed)))
+        if d:
+            n0, n1, below = (x.reshape(256, -1).sum(0) for x in (n0, n1, mixed))  # the farthest byte is the highest
+    return out
 
 
-def log10_bytes(codes: np.ndarray, inner: np.ndarray, kt: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """log10 probability of each n-gram's last byte: the root mixed with what stands below it."""
+def log10_bytes(codes: np.ndarray, inner: np.ndarray, up: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each n-gram's last byte: what stands below mixed into each depth up to the root."""
     byte = (codes & np.uint64(255)).astype(np.int64)
+    context = (codes >> np.uint64(8)).astype(np.int64)
     total = np.zeros(len(codes))
     for level in range(8):
         node, one = (byte >> (8 - level)) | (1 << level), (byte >> (7 - level)) & 1
         p = inner[:, level].astype(np.float64)
-        p = np.where(np.isnan(p), kt[node], weight[node] * kt[node] + (1 - weight[node]) * p)
+        for d, (kt, weight) in zip(range(len(up) - 1, -1, -1), up):
+            at = (context & (256**d - 1)) * 256 + node
+            p = np.where(np.isnan(p), kt[at], weight[at] * kt[at] + (1 - weight[at]) * p)
         total += np.log10(np.where(one == 1, p, 1 - p))
     return total
 
@@ -223,17 +235,18 @@ def gram_table(counts: DataFrame) -> DataFrame:
         codes = pdf["code"].to_numpy().astype(np.uint64)
         inner, root = weigh(codes, pdf["n"].to_numpy().astype(np.float64))
         mine = pd.DataFrame(inner, columns=names).assign(is_root=False, code=codes.astype(np.int64), node=0, n0=0.0, n1=0.0, mixed=0.0)
-        return pd.concat([mine, root.assign(is_root=True, code=0, **dict.fromkeys(names, 0.0))])
+        return pd.concat([mine, root.assign(is_root=True, code=int(codes[0]), **dict.fromkeys(names, 0.0))])
 
     schema = "is_root boolean, code long, " + ", ".join(f"{n} float" for n in names) + ", node int, n0 double, n1 double, mixed double"
-    first = F.shiftright("code", 8).bitwiseAND(F.lit(255))
-    inner = stage(counts.groupBy(first.alias("first")).applyInPandas(run, schema), "trees")
-    root = inner.where("is_root").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("mixed")).toPandas()  # 255 rows
-    kt, weight = root_mixture(root)
+    near = F.shiftright("code", 8).bitwiseAND(F.lit(256**SHARED - 1))
+    inner = stage(counts.groupBy(near.alias("near")).applyInPandas(run, schema), "trees")
+    above = F.shiftright("code", 8).bitwiseAND(F.lit(256 ** (SHARED - 1) - 1)).alias("context")
+    sums = inner.where("is_root").groupBy(above, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("mixed")).toPandas()  # 256 * 255 rows at most
+    sent = counts.sparkSession.sparkContext.broadcast(upper(sums))  # as many numbers four times
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lp = log10_bytes(pdf["code"].to_numpy().astype(np.uint64), pdf[names].to_numpy(), kt, weight)
+            lp = log10_bytes(pdf["code"].to_numpy().astype(np.uint64), pdf[names].to_numpy(), sent.value)
             yield pd.DataFrame({"code": pdf["code"], "lp": lp.astype(np.float32)})
 
     done = stage(inner.where("not is_root").select("code", *names).mapInPandas(finish, "code long, lp float"), "grams")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, map_text, segments, stage
+from .common import gather, map_text, segments, stage, unstage
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -150,6 +150,8 @@ def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rest = _ordered(few.select("key", F.col("_place").alias("u")).join(shared.select("key", F.col("_place").alias("v")), "key"))
         found.append(stage(_verified(rest, sets, similarity), "near"))
         open_ = left.where(F.col("n") > CROWD)
+    for done in (entries, shared, sets):
+        unstage(done)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

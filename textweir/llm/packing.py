@@ -12,8 +12,9 @@ come from counts by (length, salt), so a length that a third of all rows have
 is spread over many tasks.
 
 Defined cases: a null or empty text is the end id alone; rows with equal ids
-are packed apart, as many as there are; a null id is kept; an empty table gives
-no rows; further columns are ignored.
+are packed apart, as many as there are; a null id is kept; a long text is encoded
+in runs and makes as many whole sequences as it holds; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations

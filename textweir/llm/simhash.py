@@ -18,8 +18,8 @@ lost and the work is linear. Links become components in rounds of stars.
 Defined cases: a null or empty text, or one without words, has fingerprint 0,
 linked like any other; fewer words than a shingle are one shingle; repeated rows
 get the same answer each; a null id is in no component of its own number: its
-component is the least id reachable, null if there is none; an empty table
-gives no rows; further columns are ignored.
+component is the least id reachable, null if there is none; a long text is
+hashed piece by piece; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import map_text, masked, segments, stage, table
+from .common import map_text, masked, segments, stage, table, word_runs
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -40,6 +40,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 PLAN_SAMPLE = 2_000
 #: Members of a bucket that are still compared pair by pair.
 BUCKET = 256
+#: Characters from which on a text's shingles are counted piece by piece.
+LONG = 8_000_000
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
@@ -54,27 +56,53 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
     """One uint64 per text: the bits that over half of its shingle hashes have."""
-    per = [shingle_hashes(t, k) for t in texts]
-    sizes = np.array([len(h) for h in per], np.int64)
-    bounds = segments(sizes)
-    flat = np.fromiter((h for hs in per for h in hs), np.uint64, int(bounds[-1]))
     out = np.zeros(len(texts), np.uint64)
-    lanes, one = np.uint64(0x0101010101010101), np.uint64(1)
+    long = [i for i, t in enumerate(texts) if len(t or "") > LONG]
+    for i in long:
+        out[i] = _long_fingerprint(texts[i], k)
+    per = [shingle_hashes(t, k) if len(t or "") <= LONG else [] for t in texts]
+    sizes = np.array([len(h) for h in per], np.int64)
+    flat = np.fromiter((h for hs in per for h in hs), np.uint64, int(sizes.sum()))
     some = np.flatnonzero(sizes)
-    if not len(some):
-        return out
+    if len(some):
+        out[some] = _majority(_bit_counts(flat, segments(sizes)[some], sizes[some]), sizes[some])
+    return out
+
+
+def _bit_counts(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of the hashes of each text (from ``starts``, one at least) have each bit."""
+    out = np.zeros((len(sizes), 64), np.int64)
+    lanes = np.uint64(0x0101010101010101)
     # Runs of at most 255 hashes, so eight counts at a time fit the bytes of one number.
-    runs = -(-sizes[some] // 255)
-    starts = np.repeat(bounds[some], runs) + 255 * gather_ranks(runs)
+    runs = -(-sizes // 255)
+    begin = np.repeat(starts, runs) + 255 * gather_ranks(runs)
     first = segments(runs)[:-1]
     for b in range(8):
-        byte = np.add.reduceat((flat >> np.uint64(b)) & lanes, starts)
-        counts = np.add.reduceat(byte.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        for lane in range(8):
-            out[some] |= (counts[:, lane] * 2 > sizes[some]).astype(np.uint64) * (one << np.uint64(8 * lane + b))
+        byte = np.add.reduceat((flat >> np.uint64(b)) & lanes, begin)
+        out[:, b::8] = np.add.reduceat(byte.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
     return out
 
 
+def _majority(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    bits = (counts * 2 > sizes[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
+def _long_fingerprint(text: str, k: int) -> np.uint64:
+    """That of a long text, whose shingles are counted piece by piece."""
+    counts, n, held = np.zeros((1, 64), np.int64), 0, []
+    of, join = xxhash.xxh64_intdigest, b" ".join
+    for ws in word_runs(text.encode("utf-8", "surrogatepass").lower()):
+        held += ws
+        if len(held) >= k:
+            h = np.fromiter((of(join(s), SEED) for s in zip(*(held[i:] for i in range(k)))), np.uint64, len(held) - k + 1)
+            counts += _bit_counts(h, np.zeros(1, np.int64), np.array([len(h)]))
+            n, held = n + len(h), held[len(held) - k + 1 :]
+    if not n:
+        return np.uint64(of(join(held), SEED)) if held else np.uint64(0)
+    return _majority(counts, np.array([n]))[0]
+
+
 def gather_ranks(runs: np.ndarray) -> np.ndarray:
     """0, 1, .. within each run."""
     return np.arange(runs.sum()) - np.repeat(segments(runs)[:-1], runs)

@@ -19,7 +19,8 @@ dictionary is a second table of one row (dict_sha256, dictionary).
 
 Defined cases: a null text counts as empty and holds the end id alone; rows
 with equal ids are all kept, one after another in unspecified order; a null id
-sorts first; an empty table gives no blocks; further columns are ignored.
+sorts first; a long text is encoded in runs cut where the vocabulary cuts too; an
+empty table gives no blocks; further columns are ignored.
 """
 
 from __future__ import annotations
