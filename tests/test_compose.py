@@ -214,3 +214,22 @@ def test_empty_pages(spark):
     assert pages.text_blocks(spans).count() == 0
     with pytest.raises(StopIteration):
         next(iter(pages.page_numbers(spans, spans).collect()))
+
+
+def test_a_table_is_one_call_and_falls_back_to_cells(spark):
+    def ask(payload, context):
+        import json
+
+        cells = json.loads(payload.split("\n\n")[1])["cells"]
+        kind = cells[0]["text"]
+        if kind == "dead":
+            return None
+        said = [{"row": c["row"], "col": c["col"], "translation": c["text"] if kind == "echo" else c["text"].upper()} for c in cells]
+        return json.dumps({"cells": said[:-1] if kind == "lost" else said})
+
+    rows = [(t, 0, c, x) for t, words in enumerate([["good", "two"], ["lost", "two"], ["echo", "two"], ["dead", "fail"]]) for c, x in enumerate([*words, "12", "", None])]
+    cells = spark.createDataFrame(rows, "table_id long, row long, col long, content string")
+    got = {(r.table_id, r.col): (r.translated, r.status) for r in compose.translate_tables(cells, "Thai", "en", ask, Tagging("fail")).collect()}
+    assert got[0, 0] == ("GOOD", "table") and got[0, 1] == ("TWO", "table") and got[0, 2] == ("12", "passthrough") and got[0, 3] == ("", "skipped") and got[0, 4] == (None, "skipped")
+    assert got[1, 0] == ("[Thai] lost", "cell") and got[2, 1] == ("[Thai] two", "cell")
+    assert got[3, 0] == ("[Thai] dead", "cell") and got[3, 1] == ("[Translation failed|Thai] fail", "failed")

@@ -19,6 +19,7 @@ from . import layout as L
 from . import pages
 from . import quality as Q
 from . import segments as S
+from . import tables as B
 from . import terms as O
 from .translate import failure_mark, translate_texts
 
@@ -75,6 +76,27 @@ def paragraphs(segments: DataFrame, target: str, source: str, complete_json, tra
     return out.select("doc_id", "seq", "text", value.alias("value"), "route")
 
 
+def translate_tables(cells: DataFrame, target: str, source: str, complete_json, translator: Translator) -> DataFrame:
+    """Cells with translated and status, one JSON call a table.
+
+    Empty cells are skipped and numbers passed through. A table whose reply lacks
+    a cell, or echoes all of them, is translated cell by cell instead; what then
+    fails is marked.
+    """
+    routed = cells.withColumn("_route", B.cell_route(F.col("content")))
+    sent = routed.where("_route = 'translate'").select("table_id", "row", "col", "content")
+    listed = sent.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "content", F.lit(False).alias("is_numeric")))).alias("c"))
+    asked = listed.select(F.col("table_id").cast("string").alias("text"), P.table_payload(F.col("c"), F.lit(source), F.lit(target)).alias("payload"), F.lit("").alias("context"))
+    told = cut(complete(asked, complete_json))
+    replies_ = told.where("reply is not null").select(F.col("text").cast("long").alias("table_id"), F.regexp_replace("reply", '"translation"\\s*:', '"content":').alias("reply"))
+    mapped = cut(B.remap(sent, B.reply_cells(replies_)))
+    again = translate(mapped.where("not accepted").select(F.col("content").alias("text"), F.lit(target).alias("target")).distinct(), translator).select(F.col("text").alias("content"), F.col("value").alias("_one"))
+    said = mapped.join(again, "content", "left").select("table_id", "row", "col", "accepted", F.coalesce("value", F.when(~F.col("accepted"), F.col("_one"))).alias("_v"))
+    out = routed.join(said, ["table_id", "row", "col"], "left")
+    status = F.when(F.col("_route") != "translate", F.col("_route")).when(F.col("_v").isNull(), "failed").when(F.col("accepted"), "table").otherwise("cell")
+    return out.withColumn("status", status).withColumn("translated", F.when(F.col("_route") == "translate", F.coalesce("_v", failed(target, F.col("content")))).otherwise(F.col("content"))).drop("_route", "_v", "accepted")
+
+
 def split_paragraph(c: Column, most: int = 1500) -> Column:
     """The parts a long block is translated in: paragraphs, or lines where it has none; of a part that is too long its sentences."""
     parts = F.filter(F.transform(F.when(F.contains(c, F.lit("\n\n")), F.split(c, "\n\n")).otherwise(F.split(c, "\n")), T.strip), lambda x: x != "")

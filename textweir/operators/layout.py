@@ -32,6 +32,24 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
+def distance(a: str, b: str) -> Column:
+    """The least distance of two boxes, 0 where they touch or overlap."""
+    c = lambda p, n: F.col(f"{p}{n}")
+    gap = lambda lo, hi: F.greatest(c(b, lo) - c(a, hi), c(a, lo) - c(b, hi), F.lit(0.0))
+    return F.sqrt(F.pow(gap("x0", "x1"), F.lit(2.0)) + F.pow(gap("y0", "y1"), F.lit(2.0)))
+
+
+def contains(outer: str, inner: str, tolerance: float = 0.0) -> Column:
+    c = lambda p, n: F.col(f"{p}{n}")
+    return (c(inner, "x0") >= c(outer, "x0") - tolerance) & (c(inner, "y0") >= c(outer, "y0") - tolerance) & (c(inner, "x1") <= c(outer, "x1") + tolerance) & (c(inner, "y1") <= c(outer, "y1") + tolerance)
+
+
+def upright(df: DataFrame, height: Column) -> DataFrame:
+    """Boxes measured from a page's bottom, as measured from its top; ends in order on both axes."""
+    y0, y1 = height - F.col("y1"), height - F.col("y0")
+    return df.withColumns({"x0": F.least("x0", "x1"), "x1": F.greatest("x0", "x1"), "y0": F.least(y0, y1), "y1": F.greatest(y0, y1)})
+
+
 def prefixed(df: DataFrame, p: str, *keep: str) -> DataFrame:
     return df.select(*PAGE_KEY, *[F.col(k).alias(f"{p}{k}") for k in (*keep, *BOX)])
 

@@ -75,3 +75,18 @@ def write_rows(rows: DataFrame, mode: str) -> DataFrame:
 def adjacent(cells: DataFrame) -> DataFrame:
     """Each translation as many columns to the right as its sheet is wide."""
     return cells.withColumn("target_col", F.col("col") + F.max("col").over(W.partitionBy("table_id")) + 1)
+
+
+def missing_cells(sent: DataFrame, replied: DataFrame) -> DataFrame:
+    """table_id, row, col of cells that were sent and have no reply."""
+    return sent.select("table_id", "row", "col").join(replied.select("table_id", "row", "col"), ["table_id", "row", "col"], "left_anti")
+
+
+def write_shapes(rows: DataFrame, mode: str) -> DataFrame:
+    """Slides' texts (kind, source, values: an ordered array, null where one is missing) as written: below the source, or instead of it by the first; a diagram's in one line behind it. Texts that aren't fully translated, or already end so, stay."""
+    full = F.col("values").isNotNull() & F.forall("values", lambda v: v.isNotNull())
+    tail = F.array_join("values", "\n")
+    append = F.when(F.endswith(F.col("source"), F.concat(F.lit("\n"), tail)), F.col("source")).otherwise(F.concat_ws("\n", "source", tail))
+    diagram = F.concat_ws("\n", "source", F.array_join("values", " / "))
+    shape = F.get("values", F.lit(0)) if mode == "replace" else append
+    return rows.withColumn("written", F.when(~full, F.col("source")).when(F.col("kind") == "smartart", diagram).otherwise(shape))

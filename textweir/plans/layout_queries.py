@@ -137,3 +137,19 @@ def header_footer_zones(src: Source) -> DataFrame:
 @query("SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM boxes_v GROUP BY ALL HAVING count(*) >= 2", "boxes_v")
 def union_boxes(src: Source) -> DataFrame:
     return src.boxes().groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n")).where("n >= 2")
+
+
+@query(
+    """SELECT a.element_id, b.element_id AS other, round(sqrt(power(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 2) + power(greatest(b.y0 - a.y1, a.y0 - b.y1, 0), 2)), 6) AS distance, b.x0 >= a.x0 - 5 AND b.y0 >= a.y0 - 5 AND b.x1 <= a.x1 + 5 AND b.y1 <= a.y1 + 5 AS inside
+    FROM boxes_v a JOIN rendered_v b ON a.doc_id = b.doc_id AND a.page = b.page""",
+    "boxes_v", "rendered_v",
+)
+def box_distance(src: Source) -> DataFrame:
+    j = L.prefixed(src.boxes(), "a_", "element_id").join(L.prefixed(src.rendered(), "b_", "element_id"), L.PAGE_KEY)
+    return j.select(F.col("a_element_id").alias("element_id"), F.col("b_element_id").alias("other"), F.round(L.distance("a_", "b_"), 6).alias("distance"), L.contains("a_", "b_", 5.0).alias("inside"))
+
+
+@query("SELECT element_id, x0, 800 - y1 AS y0, x1, 800 - y0 AS y1 FROM boxes_v", "boxes_v")
+def boxes_upright(src: Source) -> DataFrame:
+    turned = src.boxes().select("element_id", F.col("x1").alias("x0"), "y0", F.col("x0").alias("x1"), "y1")
+    return L.upright(turned, F.lit(800.0)).select("element_id", "x0", "y0", "x1", "y1")

@@ -105,3 +105,32 @@ def text_layer(src: Source) -> DataFrame:
 @query("SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN sum(length(text)) > 40000 THEN 'long' ELSE 'short' END AS path FROM documents GROUP BY doc_id")
 def long_document_path(src: Source) -> DataFrame:
     return src.table("documents").groupBy("doc_id").agg(F.when(F.sum(F.length("text")) > 40_000, "long").otherwise("short").alias("path"))
+
+
+@query("SELECT table_id, row, col FROM cells_v WHERE row % 2 = 1 AND col = 3", "cells_v")
+def table_missing_cells(src: Source) -> DataFrame:
+    return O.missing_cells(src.cells(), src.cells().where("not (row % 2 = 1 and col = 3)"))
+
+
+_SHAPES = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'smartart' WHEN 1 THEN 'text_frame' ELSE 'table_cell' END AS kind, CASE WHEN turn % 4 = 1 THEN concat(text, chr(10), 'a', chr(10), 'b') ELSE text END AS source, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'b' END AS b FROM conversations"
+
+
+def _shapes(src: Source) -> DataFrame:
+    t = F.col("turn")
+    return src.table("conversations").select(
+        "conv_id", "turn", F.when(t % 3 == 0, "smartart").when(t % 3 == 1, "text_frame").otherwise("table_cell").alias("kind"),
+        F.when(t % 4 == 1, F.concat("text", F.lit("\na\nb"))).otherwise(F.col("text")).alias("source"), F.array(F.lit("a"), F.when(F.col("conv_id") % 3 != 0, "b")).alias("values"),
+    )
+
+
+for _mode, _sql in {"append": "CASE WHEN ends_with(source, chr(10) || 'a' || chr(10) || 'b') THEN source ELSE concat(source, chr(10), 'a', chr(10), 'b') END", "replace": "'a'"}.items():
+    query(f"SELECT conv_id, turn, CASE WHEN b IS NULL THEN source WHEN kind = 'smartart' THEN concat(source, chr(10), 'a / b') ELSE {_sql} END AS written FROM ({_SHAPES}) s", name=f"slide_write_{_mode}")(
+        lambda src, m=_mode: O.write_shapes(_shapes(src), m).select("conv_id", "turn", "written")
+    )
+
+
+@query("SELECT p_partkey, path, regexp_matches(lower(path), '\\.(docx|doc|pptx|ppt|xlsx|xls|pdf)$') AS ok FROM (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, concat('a/b.c', p_partkey, ['.DOCX', '.txt', '.pdf', '', '.doc'][p_partkey % 5 + 1]) AS path FROM part) p")
+def supported_files(src: Source) -> DataFrame:
+    end = F.element_at(F.array(*[F.lit(x) for x in (".DOCX", ".txt", ".pdf", "", ".doc")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = src.table("part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.concat(F.lit("a/b.c"), F.col("p_partkey").cast("string"), end).alias("path"))
+    return p.withColumn("ok", files.supported(F.col("path")))
