@@ -6,12 +6,12 @@ join with a residual condition, never a nested loop over all boxes.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 BOX = ["x0", "y0", "x1", "y1"]
 PAGE_KEY = ["doc_id", "page"]
 
@@ -158,17 +158,13 @@ def header_footer(boxes: DataFrame, height: float, margin: float = 50.0) -> Data
 def grow_rows(rows: DataFrame, budget: float) -> DataFrame:
     """Row growth per table: each row takes what it needs of the budget left, later rows shift by what earlier ones took."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", kind="stable")
-        need, left, shift, grown, moved = pdf["need"].to_numpy(np.float64), budget, 0.0, [], []
-        for n in need:
-            moved.append(shift)
-            take = min(max(n, 0.0), left)
-            grown.append(take)
-            left, shift = left - take, shift + take
-        return pdf.assign(growth=grown, shift=moved)[["table_id", "row", "growth", "shift"]]
-
-    return rows.select("table_id", "row", "need").groupBy("table_id").applyInPandas(run, "table_id long, row long, growth double, shift double")
+    def step(state: tuple, need: float) -> tuple:
+        growth, shift, left = state
+        take = min(max(need, 0.0), left)
+        return take, shift + growth, left - take
+
+    sized = rows.select("table_id", "row", F.coalesce(F.col("need").cast("double"), F.lit(0.0)).alias("need"))
+    return fold_sorted(sized, "table_id", "row", ["need"], lambda: (0.0, 0.0, budget), step, "growth double, shift double")
 
 
 def sane_tables(cells: DataFrame) -> DataFrame:

@@ -36,12 +36,12 @@ def cell_route(content: Column) -> Column:
     return F.when(T.strip(F.coalesce(content, F.lit(""))) == "", "skipped").when(T.is_numeric_cell(content), "passthrough").otherwise("translate")
 
 
-REPLY = "array<struct<row:string,col:string,content:string>>"
+REPLY = "struct<cells:array<struct<row:string,col:string,content:string>>>"
 
 
 def reply_cells(replies: DataFrame) -> DataFrame:
     """table_id, row, col, content of JSON replies; coordinates that aren't whole numbers are dropped, of duplicates the last counts."""
-    cells = replies.select("table_id", F.posexplode(F.from_json(F.get_json_object("reply", "$.cells"), REPLY)).alias("p", "c"))
+    cells = replies.select("table_id", F.posexplode(F.from_json("reply", REPLY)["cells"]).alias("p", "c"))
     whole = cells.where(F.col("c.row").rlike(r"^-?\d+$") & F.col("c.col").rlike(r"^-?\d+$") & F.col("c.content").isNotNull())
     return whole.groupBy("table_id", F.col("c.row").cast("long").alias("row"), F.col("c.col").cast("long").alias("col")).agg(F.max_by("c.content", "p").alias("reply"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fitting
 from ..operators import cache, compose, jobs, quality, terms, translate
 from ..sources.seams import Tagging
 from ..sources.views import Source
@@ -198,3 +199,79 @@ def scenario_profiles(src: Source) -> DataFrame:
 @query("SELECT id, replace(source_text, ' ', '_') AS source_text, row_number() OVER (PARTITION BY target_lang ORDER BY id) AS line, left(target_lang, 31) AS sheet FROM terms_v", "terms_v")
 def term_sheets(src: Source) -> DataFrame:
     return terms.sheets(src.terms().withColumn("source_text", F.replace(F.col("source_text"), F.lit(" "), F.lit("_")))).select("id", "source_text", "line", "sheet")
+
+
+_WORTH = "regexp_matches(regexp_replace(text, '[^\\p{L}]', '', 'g'), '.{3}')"
+
+
+def _marks(src: Source) -> DataFrame:
+    return src.spark.createDataFrame([("Thai",), ("German",)], "target string")  # two fixed rows
+
+
+@query(f"SELECT text, target, CASE WHEN contains(text, 'the ') THEN concat('[Translation failed|', target, '] ', text) ELSE concat('[', target, '] ', text) END AS value, false AS cached FROM (SELECT DISTINCT text FROM conversations WHERE {_WORTH}) s, (VALUES ('Thai'), ('German')) AS t(target)")
+def translated_texts(src: Source) -> DataFrame:
+    """Distinct texts in two languages; those with a certain word fail."""
+    none = src.spark.createDataFrame([], "key_hash string, translation string")
+    said, _ = translate.translate_texts(src.table("conversations").select("text"), _marks(src), none, Tagging("the "), F.lit("auto"), "m")
+    return said
+
+
+@query(f"SELECT text, 'Thai' AS target, CASE WHEN contains(text, 'the ') AND contains(text, 'and ') THEN concat('[Translation failed|Thai] ', text) ELSE concat('[Thai] ', text) END AS value, contains(text, 'the ') AND NOT contains(text, 'and ') AS filled FROM (SELECT DISTINCT text FROM conversations WHERE {_WORTH}) s")
+def filled_failures(src: Source) -> DataFrame:
+    """A first model fails for one word, the one that fills in for another."""
+    none = src.spark.createDataFrame([], "key_hash string, translation string")
+    said, _ = translate.translate_texts(src.table("conversations").select("text"), _marks(src).where("target = 'Thai'"), none, Tagging("the "), F.lit("auto"), "m")
+    return translate.verify_and_fill(said.drop("cached"), Tagging("and "), 1)
+
+
+@query("SELECT conv_id * 1000 + turn AS block_id, text, concat('[Thai] ', substr(text, 1, 12)) AS value FROM conversations WHERE text IS NOT NULL AND length(text) >= 40")
+def critiqued_drafts(src: Source) -> DataFrame:
+    """Short drafts that a revision would double: it is no better by length once it is over the source's."""
+    c = src.table("conversations").where("text is not null and length(text) >= 40")
+    drafts = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("block_id"), "text", F.lit("Thai").alias("target"), F.substring("text", 1, 12).alias("value"))
+    return translate.critique(drafts, Tagging(), _Nearer(), 1).select("block_id", "text", "value")
+
+
+class _Nearer:
+    """Scores a translation by its length alone."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]:
+        return [float(len(b)) for _, b in pairs]
+
+
+@query("SELECT doc_id AS id, CASE WHEN short THEN again ELSE value END AS value FROM (SELECT *, length(n) >= 15 AND e > 0 AND length(value) < 0.3 * e AND length(again) > length(value) AS short FROM (SELECT doc_id, substr(text, 1, 20) AS value, lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))) AS n, length(regexp_replace(lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))), '[^\\p{L}]', '', 'g')) * 0.75::DOUBLE AS e, array_to_string(list_transform(string_split(text, chr(10)), lambda x: concat('[Vietnamese] ', x)), chr(10)) AS again FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]')) a) b")
+def recovered_truncations(src: Source) -> DataFrame:
+    """Replies of twenty characters, which are too short for most documents, asked for again line by line."""
+    d = src.table("documents").where("text is not null").where(~F.col("text").rlike(r"[\x{4E00}-\x{9FFF}]"))
+    rows = d.select(F.col("doc_id").alias("id"), "text", F.lit("Vietnamese").alias("target"), F.substring("text", 1, 20).alias("value"))
+    return translate.recover_truncated(rows, Tagging()).select("id", "value")
+
+
+@query("SELECT count(*) AS n FROM conversations")
+def size_guard(src: Source) -> DataFrame:
+    return translate.guard_size(src.table("conversations").select("text"), 10**12, 10**15).agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE e AS (SELECT o_custkey AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT job_id, CAST(sum(CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS files, CAST(sum(CASE WHEN i % 4 IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS segments_done FROM e GROUP BY job_id")
+def progress_fold(src: Source) -> DataFrame:
+    """Log lines of files with two segments each, folded to the counters of each job; the last file may be open."""
+    from pyspark.sql import Window as W
+
+    from ..operators.folds import fold_sorted
+    from ..streaming.progress import fold_progress
+
+    i = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = src.table("orders").select(F.col("o_custkey").alias("job_id"), i.cast("long").alias("seq"))
+    number = F.floor((F.col("seq") - 1) / 4).cast("long") + 1
+    kind = (F.col("seq") - 1) % 4
+    line = F.when(kind == 0, F.concat(F.lit("Processing: f.docx ("), number.cast("string"), F.lit("/99)"))).when(kind < 3, F.concat(F.lit("[TR] "), kind.cast("string"), F.lit("/2 text"))).otherwise("Done: f.docx -> out")
+    lines = o.withColumn("message", line)
+    states = fold_sorted(lines, "job_id", "seq", ["message"], lambda: (0, 0, 0, 0, 0), fold_progress, "files long, base long, segments_done long")
+    return states.groupBy("job_id").agg(F.max_by("files", "seq").alias("files"), F.max_by("segments_done", "seq").alias("segments_done"))
+
+
+@query()
+def fitted_text(src: Source) -> DataFrame:
+    """Part names fitted into boxes of their own sizes by the cascade; held against its rules in the tests."""
+    p = src.table("part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_name").alias("text"), (F.col("p_size") * 4.0).alias("wide"), (F.col("p_size") * 1.0).alias("tall"), F.lit(12.0).alias("size"), F.lit(5.0).alias("below"))
+    return p.select("p_partkey", fitting.fit_cascade("text", "wide", "tall", "size", "below").alias("f")).select("p_partkey", "f.*")

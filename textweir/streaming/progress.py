@@ -55,6 +55,10 @@ def fold_progress(state: tuple[int, int, int, int, int], message: str) -> tuple[
 def progress(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """job_id with its counters from log lines (job_id, seq, message); update mode.
 
+    Lines are folded by seq within a micro-batch, and batches as they come: a log
+    is one ordered stream, so a line that comes later than its successors' batch
+    is folded where it comes.
+
     With ``ttl_ms`` a job's state is dropped after so long without lines. Spark
     then runs batches even when idle, so such a query ends by ``stop()`` alone.
     """
