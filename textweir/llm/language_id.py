@@ -44,8 +44,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     """Which code points are letters, and each code point's lower case, one for one."""
     global _kinds
     if _kinds is None:
-        every = [chr(i) for i in range(0x110000)]
-        _kinds = np.fromiter(map(str.isalpha, every), bool, 0x110000), np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, 0x110000)
+        _kinds = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), np.fromiter((ord(chr(i).lower()[0]) for i in range(0x110000)), np.uint32, 0x110000)
     return _kinds
 
 
