@@ -233,3 +233,15 @@ def test_a_table_is_one_call_and_falls_back_to_cells(spark):
     assert got[0, 0] == ("GOOD", "table") and got[0, 1] == ("TWO", "table") and got[0, 2] == ("12", "passthrough") and got[0, 3] == ("", "skipped") and got[0, 4] == (None, "skipped")
     assert got[1, 0] == ("[Thai] lost", "cell") and got[2, 1] == ("[Thai] two", "cell")
     assert got[3, 0] == ("[Thai] dead", "cell") and got[3, 1] == ("[Translation failed|Thai] fail", "failed")
+
+
+def test_sentences_by_a_library_or_by_rule(spark):
+    rows = spark.createDataFrame([(1, "A b. C d!", "en"), (2, "甲。乙！", "zh"), (3, "x. y.", "ru"), (4, None, "en")], "id long, text string, code string")
+    got = sorted((r.id, r.pos, r.sentence) for r in seams.split_sentences(rows, lambda t, c: [t, " "] if c == "en" else None).collect())
+    assert got == [(1, 0, "A b. C d!"), (2, 0, "甲。"), (2, 1, "乙！"), (3, 0, "x."), (3, 1, "y.")]
+
+
+def test_only_traditional_targets_are_converted(spark):
+    rows = spark.createDataFrame([(1, "zh-TW", "后"), (2, "Thai", "后"), (3, "Traditional Chinese", None), (4, "zh-tw", "!")], "id long, target string, value string")
+    got = {r.id: r.value for r in seams.to_traditional(rows, lambda t: {"后": "後"}[t]).collect()}
+    assert got == {1: "後", 2: "后", 3: None, 4: "!"}

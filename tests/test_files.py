@@ -142,3 +142,19 @@ def test_exports(spark, tmp_path):
     assert whole["version"] == "1.0" and whole["exported_at"] == "2020-01-01T00:00:00" and [t["source_text"] for t in whole["terms"]] == ["a", "b"] and "created_at" not in whole["terms"][0]
     files.write_benchmark(df, f"file://{tmp_path}/bench")
     assert spark.read.json(f"file://{tmp_path}/bench/json").count() == spark.read.option("header", True).csv(f"file://{tmp_path}/bench/csv").count() == 2
+
+
+def test_a_listing_becomes_a_document_that_reads_back(spark):
+    lines = [(1, 0, "heading", "-- Page 1 --"), (1, 1, "source", "a < b & c\nsecond\x07"), (2, 0, "source", "")]
+    df = spark.createDataFrame(lines[::-1], "doc_id long, pos long, kind string, line string")
+    got = {r.doc_id: [(e[0], e[1]) for e in files.parse_docx(bytes(r.content))] for r in files.render_docx(df).collect()}
+    assert got == {1: [("title", "-- Page 1 --"), ("text", "a < b & c\nsecond")], 2: []}
+
+
+def test_registered_parsers(spark, tmp_path):
+    (tmp_path / "x.LOG").write_bytes(b"one line")
+    files.register_parser(".log", lambda raw: [("text", raw.decode(), "", None, None, None)])
+    try:
+        assert [r.content for r in files.office_elements(spark, f"file://{tmp_path}", {".log": files.PARSERS[".log"]}).collect()] == ["one line"]
+    finally:
+        del files.PARSERS[".log"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,7 +177,10 @@ def sentence_rejoin(src: Source) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l")).select("doc_id", F.array_join("l.line", "\n").alias("text"))
 
 
-@query(r"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(value, '^\[(Translation failed\||翻譯失敗\]|No translation\||Translation missing|Extended retry failed|Chunked translation failed|Chunk translation failed\]|Missing translation result\])')) AS failed FROM tmap_v GROUP BY doc_id", "tmap_v")
+_FAILED = "|".join(map(re.escape, T.FAILURE_PREFIXES)).replace("\\ ", " ")
+
+
+@query(rf"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(value, '^\[({_FAILED})')) AS failed FROM tmap_v GROUP BY doc_id", "tmap_v")
 def failure_scan(src: Source) -> DataFrame:
     return src.tmap().groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.is_failure(F.col("value"))).alias("failed"))
 
@@ -183,21 +188,22 @@ def failure_scan(src: Source) -> DataFrame:
 _REPLY = "CASE turn % 4 WHEN 0 THEN 'Could you provide the TEXT you''d like translated?' WHEN 1 THEN concat(text, ' no text was provided') WHEN 2 THEN text ELSE 'The translator needs more context to translate this.' END"
 
 
-@query(f"SELECT conv_id, turn, t <> '' AND length(t) <= 200 AND (contains(lower(t), 'provide the text') OR contains(lower(t), 'no text was provided') OR contains(lower(t), 'i need more context to translate')) AS refusal FROM (SELECT conv_id, turn, {STRIP.format(_REPLY)} AS t FROM conversations) c")
+_REFUSED = " OR ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in T.REFUSAL_PHRASES)
+
+
+@query(f"SELECT conv_id, turn, t <> '' AND length(t) <= 200 AND ({_REFUSED}) AS refusal FROM (SELECT conv_id, turn, {STRIP.format(_REPLY)} AS t FROM conversations) c")
 def refusal_scan(src: Source) -> DataFrame:
     return src.table("conversations").select("conv_id", "turn", T.is_refusal(F.expr(_REPLY)).alias("refusal"))
 
 
-@query(
-    r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size || '~' || p_partkey || 'kg/cm2' WHEN 1 THEN p_size || '.5mm x' WHEN 2 THEN 'B' || (p_size % 10) WHEN 3 THEN 'QC-OC' || (100 + p_size)
-      WHEN 4 THEN 'Password' WHEN 5 THEN p_size || 'V' WHEN 6 THEN '5S' ELSE p_name END AS term FROM part)
-    SELECT CAST(p_partkey AS BIGINT) AS p_partkey, term, regexp_matches(term, '^[\d.,±~～<>≤≥]{2,}\s*[a-zA-Zμµ°Φ/%²³]*$') OR regexp_matches(term, '^[\d.,±~～<>≤≥]+\s*[a-zA-Zμµ°Φ/%²³]{2,}$')
-      OR regexp_matches(term, '(?i)^\d+[\d.,]*\s*(mm|cm|um|μm|µm|kg|g|V|A|Hz|HZ|℃|°C|MPa|ppm)\b') OR regexp_matches(term, '^\d+[~～]\d+\s*\w+') OR regexp_matches(term, '^\d.*[VvAa]\s*$') OR regexp_matches(term, '^\d+Φ')
-      OR regexp_matches(term, '^[A-D]\d$') OR regexp_matches(term, '(?i)^[A-Z]{1,3}-[A-Z]{1,4}\d{2,}') OR regexp_matches(term, '(?i)^(username|usename|password|acme)$') OR regexp_matches(term, '^.?$') OR regexp_matches(term, '(?i)^Profiling\s') AS noise FROM t"""
-)
+_TERM = """CASE p_partkey % 8 WHEN 0 THEN p_size || '~' || p_partkey || 'kg/cm2' WHEN 1 THEN p_size || '.5mm x' WHEN 2 THEN 'B' || (p_size % 10) WHEN 3 THEN 'QC-OC' || (100 + p_size)
+      WHEN 4 THEN 'Password' WHEN 5 THEN p_size || 'V' WHEN 6 THEN '5S' ELSE p_name END"""
+_NOISE = " OR ".join(f"regexp_matches(term, '{p}')" for p in T.NOISE_PATTERNS)
+
+
+@query(f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, term, {_NOISE} OR lower(term) = 'acme' AS noise FROM (SELECT p_partkey, {_TERM} AS term FROM part) t")
 def term_noise_filter(src: Source) -> DataFrame:
-    term = F.expr("""CASE p_partkey % 8 WHEN 0 THEN p_size || '~' || p_partkey || 'kg/cm2' WHEN 1 THEN p_size || '.5mm x' WHEN 2 THEN 'B' || (p_size % 10) WHEN 3 THEN 'QC-OC' || (100 + p_size)
-      WHEN 4 THEN 'Password' WHEN 5 THEN p_size || 'V' WHEN 6 THEN '5S' ELSE p_name END""")
+    term = F.expr(_TERM)
     return src.table("part").select(F.col("p_partkey").cast("long").alias("p_partkey"), term.alias("term")).withColumn("noise", T.is_noise_term(F.col("term"), ["Acme"]))
 
 

@@ -334,6 +334,11 @@ def office_segments(spark: SparkSession, path: str) -> DataFrame:
 PARSERS: dict[str, Callable[[bytes], list[tuple]]] = {".docx": parse_docx, ".pptx": parse_pptx, ".xlsx": parse_xlsx}
 
 
+def register_parser(ending: str, parse: Callable[[bytes], list[tuple]]) -> None:
+    """Have files of an ending read by ``parse``, from a file's bytes to its elements without their numbers."""
+    PARSERS[ending.lower()] = parse
+
+
 def office_elements(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[tuple]]] | None = None) -> DataFrame:
     """path, error and elements of every supported file under ``path``; a file that can't be parsed gives one row with its error."""
     return _scan(spark, path, parsers or PARSERS, ELEMENTS)
@@ -376,6 +381,38 @@ def supported(path: Column) -> Column:
     return F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1))).isin(SUPPORTED) & F.contains(path, F.lit("."))
 
 
+def docx_of(lines: list[tuple[str, str]]) -> bytes:
+    """A plain .docx of (kind, text) lines in order; headings are styled, all else is a paragraph."""
+    from xml.sax.saxutils import escape
+
+    def one(kind: str, text: str) -> str:
+        style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if kind in ("heading", "title") else ""
+        runs = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(part)}</w:t>' for part in text.split("\n"))
+        return f"<w:p>{style}<w:r>{runs}</w:r></w:p>"
+
+    body = "".join(one(k, re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", t or "")) for k, t in lines)
+    main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (
+            ("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{main}"/></Types>'),
+            ("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'),
+            ("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>'),
+        ):
+            z.writestr(zipfile.ZipInfo(name), text)
+    return out.getvalue()
+
+
+def render_docx(lines: DataFrame) -> DataFrame:
+    """doc_id, content: a .docx of each document's lines (doc_id, pos, kind, line); a document is one value."""
+
+    def render(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf.sort_values("pos", kind="stable")
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [docx_of(list(zip(mine["kind"], mine["line"])))]})
+
+    return lines.select("doc_id", "pos", "kind", "line").groupBy("doc_id").applyInPandas(render, "doc_id long, content binary")
+
+
 def zip_outputs(outputs: DataFrame) -> DataFrame:
     """job_id, archive of rows (job_id, name, content): a job's files by name, packed; a job's outputs have to fit one value."""
 

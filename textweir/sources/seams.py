@@ -12,6 +12,9 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
 
 # Fixed values.
 ATTEMPTS, BACKOFF, TEMPORARY_WAITS, CEILING = 3, 1.6, (5.0, 10.0, 20.0), 120.0
@@ -249,3 +252,37 @@ def recognise(pages: DataFrame, ocr: Callable[[bytes], list[str]], least: int =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "page": pdf["page"], "text": texts})
 
     return pages.select("doc_id", "page", "text", "image").mapInPandas(run, "doc_id long, page long, text string")
+
+
+def split_sentences(rows: DataFrame, splitter: Callable[[str, str], list[str] | None]) -> DataFrame:
+    """id, pos, sentence of rows (id, text, code): by ``splitter(text, code)``; where it has no answer, and for Chinese, by the punctuation rule."""
+    by_rule = rows.select("id", "text", "code", T.sentences(F.col("text")).alias("_rule"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, text, code, rule in zip(pdf["id"], pdf["text"], pdf["code"], pdf["_rule"]):
+                said = None if code == "zh" or not text else splitter(text, code)
+                kept = [s.strip() for s in said if s.strip()] if said else list(rule)
+                out += [(i, k, s) for k, s in enumerate(kept)]
+            yield pd.DataFrame(out, columns=["id", "pos", "sentence"])
+
+    return by_rule.mapInPandas(run, "id long, pos long, sentence string")
+
+
+def to_traditional(rows: DataFrame, convert: Callable[[str], str]) -> DataFrame:
+    """Rows (.., target, value) whose target is Traditional Chinese with their value converted; all others stay, as does a value whose conversion fails."""
+    schema, at = rows.schema, rows.columns.index("value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(text: str | None) -> str | None:
+            try:
+                return convert(text) if text else text
+            except Exception:  # the text as it was
+                return text
+
+        for pdf in batches:
+            yield pdf.assign(**{pdf.columns[at]: [one(t) for t in pdf["value"]]})
+
+    mine = T.is_traditional_chinese(F.col("target"))
+    return rows.where(~mine).unionByName(rows.where(mine).mapInPandas(run, schema))
