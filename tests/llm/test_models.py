@@ -218,7 +218,7 @@ def test_context_tree_matches_recursion(depth, shared):
     for f in np.unique(near):
         mine = near == f
         inner[mine], root = lm_scoring.weigh(codes[mine], np.array([seen[int(c)] for c in codes[mine]], float), depth, shared)
-        roots.append(root.assign(context=int(f) & (256 ** (shared - 1) - 1)))
+        roots.append(root.assign(context=root["context"] & (256 ** (shared - 1) - 1)))
     got = lm_scoring.log10_bytes(codes, inner, lm_scoring.upper(pd.concat(roots), shared))
 
     def counts(node, suffix):

@@ -13,8 +13,8 @@ A byte's probability depends on itself and ``DEPTH`` bytes, so only distinct
 n-grams are gathered: a task writes the distinct n-grams and tokens of each run
 of documents it reads (a block) and the block's documents, compressed. Counts
 are summed over the corpus; the trees below each two nearest context bytes are
-weighed in one group, whose size is that of its distinct n-grams, at most a few
-hundredths of all; the two depths above them are met through 65,280 sums. Where the table of all n-grams passes the checked size it is
+weighed together, in groups that hold several such pairs or one frequent one, at
+most a few hundredths of all distinct n-grams; the two depths above them are met through 65,280 sums. Where the table of all n-grams passes the checked size it is
 broadcast, else each block gets its own n-grams' part of it by a join; the word
 counts of the base score always come that way.
 
@@ -27,9 +27,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,11 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashLookup, fold, segment_sum, segments, stage, table, unstage
+from .common import HashLookup, byte_runs, fold, parallelism, segment_sum, segments, stage, table, unstage
 
 DEPTH = 5
 #: Context bytes that the n-grams weighed in one group share; the trees above them are summed by node.
 SHARED = 2
+#: Groups that those contexts are dealt into at least, whole contexts each.
+GROUPS = 256
 #: Bytes of text in a block, and n-grams that are broadcast at most (12 bytes each).
 BLOCK_BYTES, MAX_BROADCAST = 32_000_000, 4_000_000
 #: Bytes of text scored at once.
@@ -58,8 +58,12 @@ def tokens(text: str | None) -> list[bytes]:
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For each byte its context and itself as a number, oldest byte first, and the bounds of each text's."""
     pad = END * depth
-    flat = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint64)
-    bounds = segments(np.array([len(t) + depth for t in texts], np.int64))
+    return _packed(np.frombuffer(b"".join(pad + t for t in texts), np.uint8), segments(np.array([len(t) + depth for t in texts], np.int64)), depth)
+
+
+def _packed(flat: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """As ``grams``, of texts that lie one after another, each behind ``depth`` ends."""
+    flat = flat.astype(np.uint64)
     code = flat.copy()
     for k in range(1, depth + 1):
         code[k:] |= flat[:-k] << np.uint64(8 * k)
@@ -69,6 +73,14 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return code[keep], bounds - depth * np.arange(len(bounds))
 
 
+def _bytes_of(strings) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array of strings one after another, and the bounds of each."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat, offsets - offsets[0]
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
@@ -91,60 +103,70 @@ def _batch(kind: int, block: int, size: int, **cols):
 
 def _gather(batches: Iterator) -> Iterator:
     """Documents (doc_id, held_out, text) to blocks of ``STAGED`` rows. A block's memory is that of its distinct words and n-grams."""
+    import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark import TaskContext
 
     part, made, size = TaskContext.get().partitionId(), 0, 0
     packer = zstandard.ZstdCompressor(level=1)
-    words: Counter = Counter()
-    held_words: set[bytes] = set()
+    words: list = []
     codes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
 
+    def merged():
+        return pa.concat_tables(words).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
     def close(block: int) -> Iterator:
-        rest = iter([*words, *(w for w in held_words if w not in words)])
-        while names := list(islice(rest, OUT_ROWS)):
-            yield _batch(TOKEN, block, len(names), data=names, n=[words.get(w, 0) for w in names])
+        if words:
+            for found in merged().to_batches(OUT_ROWS):
+                yield _batch(TOKEN, block, found.num_rows, data=found.column("w").cast(pa.binary()), n=found.column("n"))
         if codes:
             k, n = _merge(codes, counts)
             for a in range(0, len(k), OUT_ROWS):
                 yield _batch(GRAM, block, len(k[a : a + OUT_ROWS]), code=k[a : a + OUT_ROWS].astype(np.int64), n=n[a : a + OUT_ROWS])
-        words.clear(), held_words.clear(), codes.clear(), counts.clear()
+        words.clear(), codes.clear(), counts.clear()
 
     for batch in batches:
         ids, held, text = (batch.column(k) for k in range(3))
-        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // RUN_BYTES)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b == a:
-                continue
-            own, flat = ([], []), []
-            for h, t in zip(held.slice(a, b - a).to_pylist(), text.slice(a, b - a).to_pylist()):
-                ws = tokens(t)
-                flat.append(b" ".join(ws) + END)
-                own[bool(h)].append(flat[-1])
-                (held_words if h else words).update(ws)
-            _count(own, codes, counts)
+        text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+        for a, m in byte_runs(pc.binary_length(text).to_numpy(zero_copy_only=False), RUN_BYTES):
+            own = pc.ascii_split_whitespace(text.slice(a, m))
+            flag = held.slice(a, m).to_numpy(zero_copy_only=False).astype(bool)
+            offsets = own.offsets.to_numpy().astype(np.int64)
+            said = own.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+            at = said.indices.to_numpy()
+            trained = np.bincount(at[np.repeat(~flag, np.diff(offsets))], minlength=len(said.dictionary))
+            mine = pa.table({"w": said.dictionary, "n": trained})
+            words.append(mine.filter(pc.not_equal(mine["w"], "")))  # an empty text has no word
+            flat = pc.binary_join_element_wise(END.decode() * DEPTH, pc.binary_join(own, " "), END.decode(), "")
+            _count(flat, flag, codes, counts)
             if len(codes) > 8:
                 k, n = _merge(codes, counts)
                 codes[:], counts[:] = [k], [n]
+                words[:] = [merged()]
             block = (part << 32) + made
-            yield _batch(DOC, block, b - a, doc_id=ids.slice(a, b - a), held_out=held.slice(a, b - a), data=[packer.compress(t) for t in flat])
-            size += sum(map(len, flat))
+            raw, bounds = _bytes_of(flat)
+            view = memoryview(raw)
+            packed = [packer.compress(view[x + DEPTH : y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield _batch(DOC, block, m, doc_id=ids.slice(a, m), held_out=held.slice(a, m), data=packed)
+            size += len(raw) - DEPTH * m
             if size >= BLOCK_BYTES:
                 yield from close(block)
                 made, size = made + 1, 0
+        pa.default_memory_pool().release_unused()
     if size:
         yield from close((part << 32) + made)
 
 
-def _count(own: tuple[list[bytes], list[bytes]], codes: list, counts: list) -> None:
+def _count(flat, held: np.ndarray, codes: list, counts: list) -> None:
     """Distinct n-grams of the texts trained on, counted, and of those held out, with count 0."""
-    for held, texts in enumerate(own):
-        if texts:
-            k, n = np.unique(grams(texts)[0], return_counts=True)
+    import pyarrow as pa
+
+    for use, weight in ((~held, 1), (held, 0)):
+        if use.any():
+            k, n = np.unique(_packed(*_bytes_of(flat.filter(pa.array(use))))[0], return_counts=True)
             codes.append(k)
-            counts.append(n * (0 if held else 1))
+            counts.append(n * weight)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -159,7 +181,7 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shared: int = SHARED) -> tuple[np.ndarray, pd.DataFrame]:
-    """For n-grams whose ``shared`` nearest context bytes are equal: P(1) of each of the eight decisions at that depth (nan where never visited), and each node's counts and mixture there."""
+    """For all n-grams of some groups of ``shared`` nearest context bytes: P(1) of each of the eight decisions at that depth (nan where never visited), and each node's counts and mixture there."""
     out = np.empty((len(codes), 8), np.float32)
     roots = []
     byte = codes & np.uint64(255)
@@ -182,7 +204,7 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shared: int
                 weight = np.exp(own - np.log(2) - mixed)
             chain.append(((n1 + 0.5) / (n0 + n1 + 1), weight, n0 + n1 > 0, place))
             if d == shared:
-                roots.append(pd.DataFrame({"node": (unique & np.uint64(255)).astype(np.int64), "n0": n0, "n1": n1, "mixed": mixed}))
+                roots.append(pd.DataFrame({"context": (unique >> eight).astype(np.int64) & (256**shared - 1), "node": (unique & np.uint64(255)).astype(np.int64), "n0": n0, "n1": n1, "mixed": mixed}))
                 break
             mask = np.uint64(((1 << 8 * (d - 1)) - 1) << 8 | 255)
             unique, up = np.unique(unique & mask, return_inverse=True)
@@ -193,8 +215,7 @@ def weigh(codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, shared: int
             here, w = kt[at], weight[at]
             p = np.where(np.isnan(p), np.where(visited[at], here, np.nan), w * here + (1 - w) * p)
         out[:, level] = p[leaf]
-    root = pd.concat(roots).groupby("node", as_index=False).sum() if roots else pd.DataFrame(columns=["node", "n0", "n1", "mixed"])
-    return out, root
+    return out, pd.concat(roots)
 
 
 def upper(nodes: pd.DataFrame, shared: int = SHARED) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -235,11 +256,12 @@ def gram_table(counts: DataFrame) -> DataFrame:
         codes = pdf["code"].to_numpy().astype(np.uint64)
         inner, root = weigh(codes, pdf["n"].to_numpy().astype(np.float64))
         mine = pd.DataFrame(inner, columns=names).assign(is_root=False, code=codes.astype(np.int64), node=0, n0=0.0, n1=0.0, mixed=0.0)
-        return pd.concat([mine, root.assign(is_root=True, code=int(codes[0]), **dict.fromkeys(names, 0.0))])
+        return pd.concat([mine, root.assign(is_root=True, code=root["context"] * 256, **dict.fromkeys(names, 0.0)).drop(columns="context")])
 
     schema = "is_root boolean, code long, " + ", ".join(f"{n} float" for n in names) + ", node int, n0 double, n1 double, mixed double"
     near = F.shiftright("code", 8).bitwiseAND(F.lit(256**SHARED - 1))
-    inner = stage(counts.groupBy(near.alias("near")).applyInPandas(run, schema), "trees")
+    dealt = F.pmod(F.xxhash64(near), F.lit(max(GROUPS, 4 * parallelism(counts))))
+    inner = stage(counts.groupBy(dealt.alias("dealt")).applyInPandas(run, schema), "trees")
     above = F.shiftright("code", 8).bitwiseAND(F.lit(256 ** (SHARED - 1) - 1)).alias("context")
     sums = inner.where("is_root").groupBy(above, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("mixed")).toPandas()  # 256 * 255 rows at most
     sent = counts.sparkSession.sparkContext.broadcast(upper(sums))  # as many numbers four times
@@ -259,6 +281,8 @@ def _score(n_train: int, n_vocab: int, n_ends: int, sent):
 
     def run(batches: Iterator) -> Iterator:
         """Rows by block and kind: a block's tokens, its n-grams if they aren't broadcast, then its documents, a few at a time."""
+        import pyarrow as pa
+
         unpack = zstandard.ZstdDecompressor()
         shared = (HashLookup(sent.value[0]), sent.value[1]) if sent else None
         block, c, held, look = None, {}, [], shared
@@ -274,7 +298,7 @@ def _score(n_train: int, n_vocab: int, n_ends: int, sent):
                 if at != block:
                     block, c, held, look = at, {}, [], shared
                 if kind == TOKEN:
-                    c.update(zip(rows.column("data").to_pylist(), rows.column("n").to_pylist()))
+                    c.update(zip(rows.column("data").cast(pa.string()).to_pylist(), rows.column("n").to_pylist()))
                 elif kind == GRAM:
                     held.append((rows.column("code").to_numpy().astype(np.uint64), rows.column("lp").to_numpy()))
                 else:
@@ -293,24 +317,26 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score_docs(rows, c: dict, look: tuple, unit: float, end: tuple, unpack, n_train: int):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     flat = [unpack.decompress(d) for d in rows.column("data").to_pylist()]
-    score, size, k = [], 0, 0
-    for i, t in enumerate(flat):
-        size += len(t)
-        if size >= RUN_BYTES or i == len(flat) - 1:
-            codes, bounds = grams(flat[k : i + 1])
-            score.append(segment_sum(look[1][look[0](codes)].astype(np.float64), bounds))
-            k, size = i + 1, 0
-    per = [t.split() for t in flat]
-    sizes = np.fromiter(map(len, per), np.int64, len(per))
-    bounds = segments(sizes)
-    count = np.fromiter((n for ws in per for n in map(c.__getitem__, ws)), np.float64, int(bounds[-1]))
-    base = segment_sum(np.log10((count + 1) / unit), bounds) + end[0]
-    known = segment_sum(count > 0, bounds).astype(np.int64) + int(end[1])
-    score = np.concatenate(score)
     size = np.fromiter(map(len, flat), np.int64, len(flat))
-    columns = [rows.column("doc_id"), rows.column("held_out"), sizes + 1, known, np.full(len(flat), n_train, np.int64), base, score, -score * np.log2(10) / size]
+    score = []
+    for a, m in byte_runs(size, RUN_BYTES):
+        codes, bounds = grams(flat[a : a + m])
+        score.append(segment_sum(look[1][look[0](codes)].astype(np.float64), bounds))
+    score = np.concatenate(score)
+    # Words stand between single spaces; the end is cut off, and an empty text is one empty word that counts for nothing.
+    own = pc.split_pattern(pa.array([t[:-1] for t in flat], pa.string()), " ")
+    said = own.values.dictionary_encode()
+    known = np.fromiter((c[w] if w else np.nan for w in said.dictionary.to_pylist()), np.float64, len(said.dictionary))
+    count = known[said.indices.to_numpy()]
+    word = ~np.isnan(count)
+    bounds = own.offsets.to_numpy().astype(np.int64)
+    base = segment_sum(np.where(word, np.log10((np.nan_to_num(count) + 1) / unit), 0.0), bounds) + end[0]
+    seen = segment_sum(word & (np.nan_to_num(count) > 0), bounds).astype(np.int64) + int(end[1])
+    sizes = segment_sum(word, bounds).astype(np.int64) + 1
+    columns = [rows.column("doc_id"), rows.column("held_out"), sizes, seen, np.full(len(flat), n_train, np.int64), base, score, -score * np.log2(10) / size]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCORES.split(", ")])
 
 
@@ -337,7 +363,9 @@ def score(docs: DataFrame, broadcast_limit: int = MAX_BROADCAST) -> DataFrame:
         sent = spark.sparkContext.broadcast((codes[order], values[order]))
     else:
         dealt = dealt.unionByName(gram.select("block", "kind", "code").join(lp, "code").select("block", "kind", *empty, F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"), "code", "lp"))
-    ordered = dealt.repartition("block").sortWithinPartitions("block", "kind")
+    # About a block a task.
+    blocks = doc.select("block").distinct().count()
+    ordered = dealt.repartition(max(blocks, parallelism(docs)), "block").sortWithinPartitions("block", "kind")
     return ordered.mapInArrow(_score(n_train, n_vocab, ends, sent), SCORES)
 
 
