@@ -57,7 +57,7 @@ def groups(pairs, n):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
+@pytest.mark.parametrize("crowd", [64, 8, 3])
 def test_links_are_those_of_all_pairs(corpus, crowd, monkeypatch):
     monkeypatch.setattr(near_copies, "CROWD", crowd)
     texts, docs = corpus

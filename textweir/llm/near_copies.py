@@ -8,13 +8,13 @@ threshold misses all keys with a chance of (1 - 0.8^5)^32, 3 in a million, one
 at 0.9 with 10^-12. Every candidate is verified on the whole sets.
 
 Texts of equal words are one entry. Keys that at most ``CROWD`` texts share are
-paired out. Above it, texts agree on five minimum hashes and so resemble each
-other; there each meets the most central member, that which shares crowded keys
-with most others, so a large group costs a pair a member. Members it isn't near
-go on as a smaller crowd, for as long as there are more than ``CROWD`` of them,
-``ROUNDS`` times at most; then, if few are left, each meets every member of its
-key. Links in a crowd of texts that are mostly not near its central members can
-be missed that way; no row is left out of the result.
+paired out, which is a bounded number of pairs a text. Above it, texts agree on
+five minimum hashes and so resemble each other; there each meets one member: for
+half of the keys the most central, which shares crowded keys with most others,
+for the rest one by hash, so a large group costs a pair a text and key. Members
+that aren't near theirs go on as a smaller crowd, ``ROUNDS`` times at most. Texts
+of a crowd that are near each other, but to none of the ten or so members that
+either meets over its keys, can miss their link; no row is left out.
 
 Defined cases: a text of fewer words than a shingle is one shingle; a null text,
 or one without words, has no shingle and no near copies; repeated rows are one
@@ -35,7 +35,7 @@ from .common import gather, map_text, segments, stage, unstage
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
-CROWD, ROUNDS = 64, 4
+CROWD, ROUNDS = 8, 3
 #: Rows of row numbers that are broadcast at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -124,6 +124,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _paired(members: DataFrame) -> DataFrame:
+    """All pairs of the few members (key, _place) of each key."""
+    return members.withColumnRenamed("_place", "u").join(members.withColumnRenamed("_place", "v"), "key").where("u < v").select("u", "v").distinct()
+
+
 def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """u, v: near copies by _place, of stored rows (_place, text, and those of ``SKETCH``); of equal texts the least place stands for all."""
     entries = stage(sketched.where("_same is not null").groupBy("_same").agg(F.min("_place").alias("_place"), F.first("_keys").alias("_keys")).select("_place", "_keys"), "entries")
@@ -132,23 +137,22 @@ def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = stage(keyed.join(sizes, "key"), "shared")
     sets = stage(_sets(only(sketched.select("_place", "text"), shared.select("_place").distinct(), "left_semi")), "sets")
     calm = shared.where(F.col("n") <= CROWD).select("key", "_place")
-    pairs = _ordered(calm.withColumnRenamed("_place", "u").join(calm.withColumnRenamed("_place", "v"), "key"))
-    found = [stage(_verified(pairs, sets, similarity), "near")]
+    found = [stage(_verified(_paired(calm), sets, similarity), "near")]
     open_ = shared.where(F.col("n") > CROWD).select("key", "_place", "n")
     for _ in range(ROUNDS):
         if open_.isEmpty():
             break
         central = open_.groupBy("_place").agg(F.sum("n").alias("t"))
-        leaders = open_.join(central, "_place").groupBy("key").agg(F.max_by("_place", F.struct("t", "_place")).alias("leader"))
+        rank = F.struct(F.when(F.col("key") % 2 == 0, F.col("t")).otherwise(F.lit(0)), F.xxhash64("key", "_place"))
+        leaders = open_.join(central, "_place").groupBy("key").agg(F.max_by("_place", rank).alias("leader"))
         led = open_.join(leaders, "key").where("_place <> leader")
         met = stage(_verified(_ordered(led.select(F.col("_place").alias("u"), F.col("leader").alias("v"))), sets, similarity), "near")
         found.append(met)
         both = met.unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v")))
         left = led.join(both.select(F.col("u").alias("_place"), F.col("v").alias("leader")), ["_place", "leader"], "left_anti").select("key", "_place")
         left = stage(left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key"), "left")
-        few = left.where(F.col("n") <= CROWD)
-        rest = _ordered(few.select("key", F.col("_place").alias("u")).join(shared.select("key", F.col("_place").alias("v")), "key"))
-        found.append(stage(_verified(rest, sets, similarity), "near"))
+        few = left.where(F.col("n") <= CROWD).select("key", "_place")
+        found.append(stage(_verified(_paired(few), sets, similarity), "near"))
         open_ = left.where(F.col("n") > CROWD)
     for done in (entries, shared, sets):
         unstage(done)
