@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -14,6 +15,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def settle() -> None:
+    """Have Arrow take a worker's memory from the system, which takes it back."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Return a worker's free memory, which an idle one would keep for stages that need it more. Without glibc, Arrow's alone."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+#: Rows in an Arrow batch of a staged plan.
+ARROW_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set. The path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,11 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a plan runs in here, at most ``ARROW_ROWS`` rows go to Python at once: rows here hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the reread table, so lost executors recompute nothing above it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textweir/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
+    with small_batches(spark):
+        df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +113,7 @@ class HashLookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))) + 2)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))) + 1)
         slot = self._slot(keys)
         self.table = np.full(1 << self.bits, -1, np.int32)
         self.table[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
@@ -171,6 +210,7 @@ def map_text(docs: DataFrame, keep: list[str], added: str, compute: Callable[[li
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        settle()
         for batch in batches:
             text, kept = batch.column(batch.num_columns - 1), batch.columns[:-1]
             sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -181,6 +221,8 @@ def map_text(docs: DataFrame, keep: list[str], added: str, compute: Callable[[li
                     made = compute([t or "" for t in text.slice(a, b - a).to_pylist()])
                     columns = [c.slice(a, b - a) for c in kept] + [pa.array(x, type=t) for x, (_, t) in zip(made, kinds)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(n for n, _ in kinds)])
+                    del made, columns
+            give_back()
 
     return picked.mapInArrow(run, schema)
 
@@ -201,7 +243,7 @@ class CachedTokenizer:
     #: Pieces on their own for a full stop and a comma before a space.
     STOP, COMMA = "\x1d", "\x1c"
     #: Pieces from which on those not met again are dropped (all, if half as many would stay), which changes no id.
-    LIMIT = 500_000
+    LIMIT = 300_000
     #: Bytes of text in one run; a longer text is cut into runs at spaces between letters or digits.
     RUN = 8_000_000
     #: Pieces encoded as one string, where each is letters alone and so one pre-token.
@@ -234,6 +276,11 @@ class CachedTokenizer:
         self.again = np.zeros(0, bool)
         self._learn([self.STOP, self.COMMA])
 
+    def forget(self) -> None:
+        """Drop all pieces, at a task's end."""
+        self._clear()
+        give_back()
+
     def _shrink(self) -> None:
         """Keep the pieces that were met again since they were learned."""
         self.again[:2] = True

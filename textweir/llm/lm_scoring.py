@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashLookup, byte_runs, fold, parallelism, segment_sum, segments, stage, table, unstage
+from .common import HashLookup, byte_runs, fold, give_back, parallelism, segment_sum, segments, settle, stage, table, unstage
 
 DEPTH = 5
 #: Context bytes that the n-grams weighed in one group share; the trees above them are summed by node.
@@ -107,6 +107,7 @@ def _gather(batches: Iterator) -> Iterator:
     import pyarrow.compute as pc
     from pyspark import TaskContext
 
+    settle()
     part, made, size = TaskContext.get().partitionId(), 0, 0
     packer = zstandard.ZstdCompressor(level=1)
     words: list = []
@@ -153,7 +154,7 @@ def _gather(batches: Iterator) -> Iterator:
             if size >= BLOCK_BYTES:
                 yield from close(block)
                 made, size = made + 1, 0
-        pa.default_memory_pool().release_unused()
+        give_back()
     if size:
         yield from close((part << 32) + made)
 

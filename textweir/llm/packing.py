@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parallelism, stage, table
+from .common import parallelism, settle, stage, table
 from .token_output import END_ID, tokenizer
 
 CAPACITY = 1024
@@ -82,6 +82,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Dat
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        settle()
         tok = tokenizer(vocabulary)
         for batch in batches:
             ids, k = batch.column(0), 0
@@ -92,6 +93,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Dat
                     crcs.append([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cuts[:-1], cuts[1:])])
                 yield pa.RecordBatch.from_arrays([ids.slice(k, n), pa.array(np.diff(at)), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "n", "piece_crcs"])
                 k += n
+        tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, piece_crcs array<long>")
 

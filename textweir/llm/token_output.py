@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CachedTokenizer, stage, table, unstage
+from .common import CachedTokenizer, settle, stage, table, unstage
 
 #: Documents that the dictionary is trained on at most. It shapes compression alone, never results.
 DICT_DOCS = 2_000
@@ -82,6 +82,7 @@ def encode(docs: DataFrame, vocabulary: str, dictionary: bytes) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        settle()
         tok = tokenizer(vocabulary)
         packer = zstandard.ZstdCompressor(level=3, dict_data=_codec(sent.value), write_content_size=True)
         for batch in batches:
@@ -91,6 +92,7 @@ def encode(docs: DataFrame, vocabulary: str, dictionary: bytes) -> DataFrame:
                 frames = [packer.compress(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["doc_id", "n_tokens", "frame"])
                 a += n
+        tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
