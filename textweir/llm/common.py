@@ -277,8 +277,8 @@ class CachedTokenizer:
         self._learn([self.STOP, self.COMMA])
 
     def forget(self) -> None:
-        """Drop all pieces, at a task's end."""
-        self._clear()
+        """Drop the pieces not met again, at a task's end."""
+        self._shrink()
         give_back()
 
     def _shrink(self) -> None:
