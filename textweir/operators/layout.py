@@ -60,10 +60,20 @@ def best_iou(source: DataFrame, rendered: DataFrame) -> DataFrame:
     return j.groupBy(*PAGE_KEY, F.col("a_element_id").alias("element_id")).agg(F.coalesce(F.max(iou("a_", "b_")), F.lit(0.0)).alias("best"))
 
 
-def fidelity(best: DataFrame, floor: float = 0.8, page_cap: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Mean overlap by page (pages of more boxes than the cap aren't scored), and by document with its regressed pages."""
-    pages = best.groupBy(*PAGE_KEY).agg(F.avg("best").alias("biou"), F.count("*").alias("boxes")).where(F.col("boxes") <= page_cap)
-    docs = best.select("doc_id").distinct().join(pages.groupBy("doc_id").agg(F.avg("biou").alias("m"), F.array_sort(F.collect_list(F.when(F.col("biou") < floor, F.col("page")))).alias("r")), "doc_id", "left")
+def steady_mean(c: str) -> Column:
+    """Mean of values from 0 to 1 by an exact sum that is rounded once, so the order of rows doesn't decide on which side of a limit it falls."""
+    scaled = F.col(c) * float(1 << 30)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * float(1 << 40))
+    return (F.sum(high) * 2.0**-30 + F.sum(low) * 2.0**-70) / F.count(c)
+
+
+def fidelity(best: DataFrame, floor: float = 0.8, page_cap: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """Mean overlap by page (pages of more boxes than the cap, if there is one, aren't scored), and by document with its regressed pages."""
+    pages = best.groupBy(*PAGE_KEY).agg(steady_mean("best").alias("biou"), F.count("*").alias("boxes"))
+    if page_cap is not None:
+        pages = pages.where(F.col("boxes") <= page_cap)
+    docs = best.select("doc_id").distinct().join(pages.groupBy("doc_id").agg(steady_mean("biou").alias("m"), F.array_sort(F.collect_list(F.when(F.col("biou") < floor, F.col("page")))).alias("r")), "doc_id", "left")
     return pages, docs.select("doc_id", F.coalesce("m", F.lit(1.0)).alias("mean_biou"), F.coalesce("r", F.array().cast("array<bigint>")).alias("regressed"))
 
 

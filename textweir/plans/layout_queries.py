@@ -33,12 +33,12 @@ def iou_pairs(src: Source) -> DataFrame:
 
 @query(f"SELECT doc_id, page, round(avg(best), 6) AS biou, count(*) AS boxes FROM ({_BEST}) t GROUP BY ALL", "boxes_v", "rendered_v")
 def biou_by_page(src: Source) -> DataFrame:
-    return L.fidelity(_best(src))[0].select("doc_id", "page", F.round("biou", 6).alias("biou"), "boxes")
+    return L.fidelity(_best(src), page_cap=None)[0].select("doc_id", "page", F.round("biou", 6).alias("biou"), "boxes")
 
 
 @query(f"SELECT doc_id, round(avg(biou), 6) AS mean_biou, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (WHERE biou < 0.8), '') AS regressed FROM (SELECT doc_id, page, avg(best) AS biou FROM ({_BEST}) t GROUP BY ALL) p GROUP BY doc_id", "boxes_v", "rendered_v")
 def layout_qa(src: Source) -> DataFrame:
-    return L.fidelity(_best(src))[1].select("doc_id", F.round("mean_biou", 6).alias("mean_biou"), F.array_join("regressed", ",").alias("regressed"))
+    return L.fidelity(_best(src), page_cap=None)[1].select("doc_id", F.round("mean_biou", 6).alias("mean_biou"), F.array_join("regressed", ",").alias("regressed"))
 
 
 @query(
