@@ -90,3 +90,30 @@ def test_one_of_each_group_stays(corpus):
 def test_nothing(corpus):
     _, docs = corpus
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd, rounds", [(8, 3), (3, 1), (2, 0)])
+def test_no_component_of_a_crowd_is_missed(spark, tmp_path, crowd, rounds, monkeypatch):
+    """Chains of texts, each near the next alone, and several groups around one common body, all in the same crowds."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    body = [word() for _ in range(100)]
+    texts = []
+    for _ in range(4):  # a chain drifts at its end, a few words a step
+        tail = [word() for _ in range(30)]
+        for step in range(25):
+            tail = tail[3:] + [word() for _ in range(3)]
+            texts.append(" ".join(body + tail))
+    texts += [" ".join(body + [word() for _ in range(40)]) for _ in range(40)]  # near to none
+    texts += [" ".join(body[: rnd.randint(80, 100)]) for _ in range(30)]  # of many sizes
+    rnd.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "_place long, text string").repartition(3).write.parquet(f"file://{tmp_path}/c")
+    docs = spark.read.parquet(f"file://{tmp_path}/c")
+    got = {(r.u, r.v) for r in near_copies.links(map_text(docs, ["_place", F.col("text")], near_copies.SKETCH, near_copies.sketch)).collect()}
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    true = {(a, b) for a in first.values() for b in first.values() if a < b and similarity(texts[a], texts[b]) >= 0.8}
+    n = len(texts)
+    assert got <= true
+    assert groups(got, n) == groups(true, n)

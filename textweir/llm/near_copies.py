@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gather, map_text, segments, stage, unstage
+from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -129,8 +130,43 @@ def _paired(members: DataFrame) -> DataFrame:
     return members.withColumnRenamed("_place", "u").join(members.withColumnRenamed("_place", "v"), "key").where("u < v").select("u", "v").distinct()
 
 
+def _first(share: float):
+    """How many of m sorted shingles may hold the first shared one if ``share`` of m are shared at least."""
+    return F.col("m") - F.ceil(F.col("m") * share - 1e-6) + 1
+
+
+def _prefixed(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of ``members`` (_place, _of) of different components _of that can be as similar as asked; none that are is missing."""
+    both = 2 * similarity / (1 + similarity)
+    flat = members.join(sets, "_place").select("_place", "_of", F.size("_set").alias("m"), F.explode("_set").alias("s"))
+    counted = flat.join(flat.groupBy("s").agg(F.count("*").alias("n")), "s")
+    sorted_ = counted.groupBy("_place", "_of", "m").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("a"))
+    head = sorted_.select("_place", "_of", "m", F.posexplode(F.slice("a", F.lit(1), _first(similarity).cast("int"))).alias("at", "x")).where("x.n > 1").select("_place", "_of", "m", "at", F.col("x.s").alias("s"))
+    head = stage(head, "prefixes")
+    # Pairs inside a shingle's largest component aren't even met.
+    sizes = head.groupBy("s", "_of").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("s").agg(F.max_by("_of", F.struct("n", "_of")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = stage(head.join(main, "s").withColumn("out", F.col("_of") != F.col("main")).drop("main"), "met")
+    low = met.where(F.col("at") < _first(both)).select("s", *[F.col(c).alias(f"{c}_a") for c in ("_place", "_of", "m", "at", "out")])
+    high = met.select("s", *[F.col(c).alias(f"{c}_b") for c in ("_place", "_of", "m", "at", "out")])
+    smaller = (F.col("m_a") < F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("_place_a") < F.col("_place_b")))
+    room = F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) >= F.ceil((F.col("m_a") + F.col("m_b")) * (both / 2) - 1e-6)
+    fits = (F.col("_of_a") != F.col("_of_b")) & smaller & (F.col("m_a") >= F.col("m_b") * similarity - 1e-6) & room
+    found = low.where("out_a").join(high, "s").where(fits).unionByName(low.where("not out_a").join(high.where("out_b"), "s").where(fits))
+    return _ordered(found.select(F.col("_place_a").alias("u"), F.col("_place_b").alias("v")))
+
+
+def _rest(crowded: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The near pairs (u, v) that join components of ``known`` links within keys of ``crowded`` (key, _place)."""
+    of = components(known).withColumnRenamed("node", "_place")
+    mine = stage(crowded.join(of, "_place", "left").select("key", "_place", F.coalesce("component", "_place").alias("_of")), "crowded")
+    mixed = mine.groupBy("key").agg(F.min("_of").alias("a"), F.max("_of").alias("b")).where("a <> b").select("key")
+    members = stage(mine.join(mixed, "key", "left_semi").select("_place", "_of").distinct(), "members")
+    return _verified(_prefixed(members, sets, similarity), sets, similarity)
+
+
 def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """u, v: near copies by _place, of stored rows (_place, text, and those of ``SKETCH``); of equal texts the least place stands for all."""
+    """u, v: near copies by _place with the components of all, of stored rows (_place, text, and those of ``SKETCH``); of equal texts the least place stands for all."""
     entries = stage(sketched.where("_same is not null").groupBy("_same").agg(F.min("_place").alias("_place"), F.first("_keys").alias("_keys")).select("_place", "_keys"), "entries")
     keyed = entries.select("_place", F.explode("_keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -154,9 +190,12 @@ def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         few = left.where(F.col("n") <= CROWD).select("key", "_place")
         found.append(stage(_verified(_paired(few), sets, similarity), "near"))
         open_ = left.where(F.col("n") > CROWD)
-    for done in (entries, shared, sets):
-        unstage(done)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    crowded = shared.where(F.col("n") > CROWD).select("key", "_place")
+    if not crowded.isEmpty():
+        out = out.unionByName(stage(_rest(crowded, out, sets, similarity), "near"))
+    for done in (entries, shared, sets):
+        unstage(done)
     return out.distinct()
