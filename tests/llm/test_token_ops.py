@@ -54,6 +54,14 @@ def test_packing(docs, texts, spark):
     assert len(bins) <= -(-total // 1024) + 1
 
 
+def test_lean_packing_is_the_same(docs, monkeypatch):
+    monkeypatch.setattr(packing, "LEAN_ROWS", 7)
+    monkeypatch.setattr(packing, "LEAN_PIECES", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, lean = (Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(docs, path, lean=x).collect()) for x in (False, True))
+    assert plain == lean
+
+
 def test_minimum_bin_slack_uses_all_and_fits():
     rng = np.random.default_rng(4)
     for _ in range(20):

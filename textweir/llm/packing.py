@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parallelism, settle, stage, table
+from .common import give_back, parallelism, settle, stage, table
 from .token_output import END_ID, tokenizer
 
 CAPACITY = 1024
+#: With ``lean``: texts encoded at once, and pieces a worker keeps; less memory for more work.
+LEAN_ROWS, LEAN_PIECES = 500, 100_000
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -75,7 +77,7 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan
 
 
-def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
     """doc_id, n (ids with the end id), piece_crcs: one row per document."""
 
     def run(batches: Iterator) -> Iterator:
@@ -84,7 +86,11 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Dat
 
         settle()
         tok = tokenizer(vocabulary)
-        for batch in batches:
+        tok.LIMIT = LEAN_PIECES if lean else type(tok).LIMIT
+        if lean:
+            give_back()  # what the stages before left
+        rows = LEAN_ROWS if lean else 1 << 40
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
             ids, k = batch.column(0), 0
             for n, flat, at in tok.closed(pc.fill_null(batch.column(1), ""), END_ID):
                 raw, crcs = memoryview(flat.astype("<u4", copy=False)).cast("B"), []
@@ -93,6 +99,8 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Dat
                     crcs.append([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cuts[:-1], cuts[1:])])
                 yield pa.RecordBatch.from_arrays([ids.slice(k, n), pa.array(np.diff(at)), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "n", "piece_crcs"])
                 k += n
+            if lean:
+                give_back()
         tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, piece_crcs array<long>")
@@ -107,9 +115,9 @@ def _ranked(rows: DataFrame, key: str, salts: int) -> DataFrame:
     return local.join(base, [key, "_s"]).withColumn("r", (F.col("_b") + F.col("_r")).cast("long")).drop("_s", "_b", "_r")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    lengths = stage(tokenised(docs, vocabulary, capacity), "lengths")
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, lean: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``lean`` spares the workers' memory."""
+    lengths = stage(tokenised(docs, vocabulary, capacity, lean), "lengths")
     first = F.col("n") % capacity
     lead = F.when(first == 0, F.lit(capacity)).otherwise(first)
     pieces = lengths.select("doc_id", first.alias("first"), lead.alias("lead"), F.posexplode("piece_crcs").alias("piece", "ids_crc32")).select(
