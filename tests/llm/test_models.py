@@ -205,6 +205,45 @@ def test_quality_calibrates_rare_languages(spark, monkeypatch):
         assert sum(r["_accepted"] for r in got if r.lang == g) >= 0.97 * sum(r.lang == g for r in got)
 
 
+@pytest.mark.parametrize("plan", ["broadcast", "blocks", "no bad", "one fold"])
+def test_quality_learns_from_all_labelled_text(spark, monkeypatch, plan):
+    """Every labelled row trains, of any length and number, whether the n-grams are broadcast or joined; trusted rows are scored by the other fold."""
+    for name, value in (("FIT_DOCS", 3), *[(n, 0) for n in ("MAX_BROADCAST", "MAX_IDS") if plan != "broadcast"], ("BLOCK_BYTES", 300)):
+        monkeypatch.setattr(quality, name, value)
+    rnd = random.Random(23)
+    prose = lambda n: " ".join(rnd.choice(["ab", "abc", "cab", "é", "bb"]) for _ in range(n))
+    rows = [(i, prose(6), "en", 1, 0) for i in range(12)] + [(12, "bab " * 6_000, "en", 1, 0)] + [(13, f"cc {w} ab", "de", 1, 0) for w in ("xa", "xb", "xb")]
+    if plan == "one fold":
+        rows = [(i, "ab cab abc", "en", 1, 0) for i in range(5)]
+    rows += [(20 + i, prose(3) + " zz", None, 0, 0) for i in range(6)] if plan != "no bad" else []
+    rows += [(40, "cc xb bab zz", "en", None, None), (41, "", "en", 1, 0), (None, None, "de", None, None), (None, "é zz", "de", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int").repartition(3)
+    fold = {r.text: r.f for r in df.select("text", F.expr("pmod(xxhash64(text), 2)").alias("f")).collect()}
+    lab = df.where("quality is not null").select("doc_id", "quality", "toxic").distinct()
+    good = [(t, fold[t]) for _, t, _, q, _ in rows if q == 1 and t]
+    of = lambda f: [t.encode() for t, g in good if g != f] or [t.encode() for t, _ in good]
+    own = {f: PlainKneserNey(of(f), quality.ORDER) for f in (None, 0, 1)}
+    poor = [t.encode() for _, t, _, q, _ in rows if q == 0]
+    other = PlainKneserNey(poor, quality.ORDER) if poor else None
+    want = Counter()
+    for i, t, _, q, _ in rows:
+        if len(t or "") > 1_000:
+            continue
+        raw, model = (t or "").encode(), own[fold[t] if q == 1 and t else None]
+        a = model.nats(raw)
+        b = other.nats(raw) if other else a
+        starts = [k for k in range(len(raw)) if not k or raw[k] in b" \n"]
+        worst = max((sum(a[x:y]) - sum(b[x:y]) for x, y in zip(starts, [*starts[1:], len(raw)])), default=0.0)
+        want[i, len(raw), round(sum(a) / max(len(raw), 1), 3), round(worst, 2)] += 1
+    rows_of = [r for r in quality.classify(df, lab, ["doc_id", "lang"]).collect() if r._bytes <= 1_000]
+    got = sorted((r.doc_id or -1, r._bytes, math.log(r._perplexity), r._worst) for r in rows_of)
+    flat = sorted((i or -1, *rest) for (i, *rest), n in want.items() for _ in range(n))
+    assert len(got) == len(flat)
+    for g, w in zip(got, flat):
+        assert g[:2] == tuple(w[:2]) and abs(g[2] - w[2]) < 2e-3 and abs(g[3] - w[3]) < 2e-2
+    assert len(set(fold[t] for t, _ in good)) == (1 if plan == "one fold" else 2)
+
+
 @pytest.mark.parametrize(("depth", "shared"), [(2, 1), (2, 2), (3, 2)])
 def test_context_tree_matches_recursion(depth, shared):
     """The weighed tables against context-tree weighting by plain recursion."""
