@@ -208,7 +208,8 @@ def test_quality_calibrates_rare_languages(spark, monkeypatch):
 @pytest.mark.parametrize("plan", ["broadcast", "blocks", "no bad", "one fold"])
 def test_quality_learns_from_all_labelled_text(spark, monkeypatch, plan):
     """Every labelled row trains, of any length and number, whether the n-grams are broadcast or joined; trusted rows are scored by the other fold."""
-    for name, value in (("FIT_DOCS", 3), *[(n, 0) for n in ("MAX_BROADCAST", "MAX_IDS") if plan != "broadcast"], ("BLOCK_BYTES", 300)):
+    limits = {"FIT_DOCS": 3, "BLOCK_BYTES": 300, "MAX_IDS": 8, "MAX_PARTS": 8 if plan == "broadcast" else 0}
+    for name, value in (limits | ({} if plan == "broadcast" else {"MAX_BROADCAST": 0})).items():
         monkeypatch.setattr(quality, name, value)
     rnd = random.Random(23)
     prose = lambda n: " ".join(rnd.choice(["ab", "abc", "cab", "é", "bb"]) for _ in range(n))

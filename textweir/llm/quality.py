@@ -13,6 +13,7 @@ n-grams pass the checked size (``MAX_BROADCAST``) they are broadcast. Else n-gra
 context bytes meet in one group, with the counts of those that documents hold
 there, and each block of documents gets its own n-grams' part by a join; only
 the two lowest orders (65,792 n-grams at most) and the discounts are met globally.
+Labelled ids are broadcast in parts, up to ``MAX_PARTS`` of ``MAX_IDS``; beyond, a join shuffles texts.
 
 A document is rejected for one of two reasons. Its perplexity under the trusted
 model is above its language's threshold, the ``QUANTILE`` of that of trusted
@@ -48,8 +49,10 @@ from .common import HashLookup, byte_runs, give_back, masked, parallelism, segme
 ORDER = 5
 #: Documents, and distinct n-grams, that a task counts before it hands the sums over; all documents are counted.
 FIT_DOCS, FIT_GRAMS = 4_000, 1_000_000
-#: n-grams of highest order in all models together (about 60 bytes each), and labelled ids, that are broadcast at most.
-MAX_BROADCAST, MAX_IDS = 2_000_000, 1_000_000
+#: n-grams of highest order in all models together that are broadcast at most.
+MAX_BROADCAST = 4_000_000
+#: Labelled ids in one broadcast, and such broadcasts, at most.
+MAX_IDS, MAX_PARTS = 1_000_000, 8
 #: Bytes of text in a block, and scored in a run.
 BLOCK_BYTES, RUN_BYTES = 32_000_000, 400_000
 #: Nearest context bytes that the n-grams met in one group share, and groups that those contexts are dealt into at least, whole contexts each.
@@ -158,6 +161,18 @@ def bad(labels: DataFrame) -> DataFrame:
     return marks(labels).where("not _good").select("doc_id")
 
 
+def flag(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with _good of ``known``, which is broadcast in parts of about ``MAX_IDS`` ids, so no text is shuffled, unless it takes over ``MAX_PARTS``."""
+    parts = max(1, -(-known.count() // MAX_IDS))
+    if parts > MAX_PARTS:
+        return docs.join(known.hint("merge"), "doc_id", "left")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    for j in range(parts):
+        mine = known.where(part == j).select(F.col("doc_id").alias(f"_id{j}"), F.col("_good").alias(f"_good{j}"))
+        docs = docs.join(F.broadcast(mine), F.col("doc_id") == F.col(f"_id{j}"), "left").drop(f"_id{j}")
+    return docs.withColumn("_good", F.coalesce(*[f"_good{j}" for j in range(parts)])).drop(*[f"_good{j}" for j in range(parts)])
+
+
 def _fold() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
 
@@ -304,22 +319,21 @@ def _scored(batch, keep: int, names: list[str], models: list) -> Iterator:
 def _by_broadcast(rows: DataFrame, keep: list[str], counts: DataFrame, schema: StructType) -> DataFrame:
     got = counts.toArrow()  # MAX_BROADCAST rows at most
     codes, n = got["code"].to_numpy().astype(np.uint64), [got[f"n{j}"].to_numpy() for j in range(3)]
-    del got
-    models: list[KneserNey | None] = []
-    for c in _counts(n, [bool(x.any()) for x in n]):
-        models.append(KneserNey(codes[c > 0], c[c > 0]) if c.any() else None)
-    sent = rows.sparkSession.sparkContext.broadcast(models)
-    del codes, n, models
+    sent = []
+    for c in _counts(n, [bool(x.any()) for x in n]):  # the driver holds one model at a time
+        sent.append(rows.sparkSession.sparkContext.broadcast(KneserNey(codes[c > 0], c[c > 0]) if c.any() else None))
+    del got, codes, n, c
     give_back()
 
     def run(batches: Iterator) -> Iterator:
         settle()
         for batch in batches:
-            yield from _scored(batch, len(keep), schema.names, sent.value)
+            yield from _scored(batch, len(keep), schema.names, [m.value for m in sent])
             give_back()
 
     scored = stage(rows.mapInArrow(run, schema), "scored")
-    sent.destroy()  # the staged rows need it no more
+    for m in sent:  # the staged rows need them no more
+        m.destroy()
     return scored
 
 
@@ -438,8 +452,8 @@ def perplexities(flagged: DataFrame, keep: list[str]) -> DataFrame:
     rows = flagged.select(*keep, which, F.col("text").cast("string").alias("_text"))
     schema = StructType([*rows.schema.fields[: len(keep)], *StructType.fromDDL("_bytes long, _nats double, _worst double").fields])
     counts = stage(learn(flagged), "counts")
-    n = counts.select(*[F.count_if(F.col(f"n{j}") > 0).alias(f"n{j}") for j in range(3)], F.count("*").alias("all")).first()
-    if n["all"] + n.n0 + n.n1 + n.n2 <= MAX_BROADCAST:  # checked
+    n = counts.select(*[F.count_if(F.col(f"n{j}") > 0).alias(f"n{j}") for j in range(3)], F.count_if(F.expr("n0 + n1 > 0")).alias("good")).first()
+    if n.good + n.n0 + n.n1 + n.n2 <= MAX_BROADCAST:  # checked
         scored = _by_broadcast(rows, keep, counts, schema)
     else:
         scored = _by_blocks(rows, keep, counts, [n.n0 > 0, n.n1 > 0, n.n2 > 0], schema)
@@ -470,14 +484,11 @@ def thresholds(good: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` (with doc_id and lang) and _perplexity, _judged, _threshold, _worst, _worst_threshold, _bytes, _accepted.
 
-    Every document is scored once and stored with its scores. Labelled ids are
-    broadcast if they were counted to be ``MAX_IDS`` at most.
+    Every document is scored once and stored with its scores.
     """
     spark = docs.sparkSession
     known = stage(marks(labels), "marks")
-    few = known.count() <= MAX_IDS  # checked
-    docs = docs.select(*dict.fromkeys([*keep, "doc_id", "lang", "text"]))
-    flagged = docs.join(F.broadcast(known) if few else known.hint("merge"), "doc_id", "left")
+    flagged = flag(docs.select(*dict.fromkeys([*keep, "doc_id", "lang", "text"])), known)
     scored = perplexities(flagged, keep)
     unstage(known)
     limits = thresholds(scored.where("_good and _bytes > 0")).toPandas()  # a row for each language
